@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from dawnpress.functions import wordlists as W
 
 BLANKS = " \t\n\r\x0b\x0c"
+UNICODE_BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def strip(c: Column) -> Column:
@@ -93,7 +94,7 @@ def unescape_html(c: Column, full: bool = True) -> Column:
 
 
 def norm_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(text_or_empty(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(c), UNICODE_BLANK, " "))
 
 
 def word_count(c: Column) -> Column:
@@ -407,17 +408,27 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(norm_space(c), W.SENTENCE_END_PATTERN), lambda s: s != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also when a lambda inside ``body`` refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_spellings(keyed: Column) -> Column:
+    """First ``s`` of every non-empty ``k`` of an array of (k, i, s), in order of ``i``; sort-based, not pairwise."""
+    ordered = F.array_sort(F.filter(keyed, lambda x: x["k"] != ""))
+    firsts = bound(ordered, lambda o: F.filter(o, lambda x, i: (i == 0) | (x["k"] != F.get(o, i - 1)["k"])))
+    kept = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
+    return F.transform(kept, lambda x: x["s"])
+
+
 def dedupe_sentences(c: Column) -> Column:
-    """Drop later sentences whose letters and digits repeat an earlier one; sort-based, not pairwise."""
+    """Drop later sentences whose letters and digits repeat an earlier one."""
     tidy = norm_space(c)
     keyed = F.transform(
         sentences(tidy),
         lambda s, i: F.struct(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "").alias("k"), i.alias("i"), s.alias("s")),
     )
-    ordered = F.array_sort(F.filter(keyed, lambda x: x["k"] != ""))
-    firsts = F.filter(ordered, lambda x, i: (i == 0) | (x["k"] != F.get(ordered, i - 1)["k"]))
-    kept = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
-    joined = F.array_join(F.transform(kept, lambda x: x["s"]), " ")
+    joined = F.array_join(first_spellings(keyed), " ")
     return F.when(joined == "", tidy).otherwise(joined)
 
 
