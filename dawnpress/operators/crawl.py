@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dawnpress.functions import text as T
 from dawnpress.functions import wordlists as W
 from dawnpress.operators.frames import first_per_key
-from dawnpress.operators.ingest import first_rows
 
 
 def niche_queries(niches: DataFrame, templates: Sequence[str] = tuple(W.NICHE_TEMPLATES)) -> DataFrame:
@@ -75,12 +73,16 @@ def crawl_plan(
     base: DataFrame,
     niches: DataFrame,
     feeds: DataFrame,
+    now: Column,
     max_queries: int = 1200,
     diversity: bool = True,
+    slice_hours: int = 0,
+    slice_lookback_hours: int = 48,
 ) -> DataFrame:
     """Feed URLs in fetch order: wished-for queries, then the base ones, then niches; direct feeds last.
 
-    Inputs are (pos, query), (pos, query), (pos, niche) and (pos, url).
+    Inputs are (pos, query), (pos, query), (pos, niche) and (pos, url). ``max_queries`` bounds everything after the
+    query selection.
     """
     stages = [wishlist.select("pos", "query"), base.select("pos", "query")]
     if diversity:
@@ -93,19 +95,13 @@ def crawl_plan(
     suffixes = ("", " when:7d", " when:30d") if diversity else ("",)
     # Positions are only comparable inside a stage: lift them above each other before expanding.
     lifted = distinct.select((F.col("_stage") * F.lit(1 << 40) + F.col("pos")).alias("pos"), "query")
-    chosen = query_variants(lifted, suffixes).orderBy("pos").limit(max_queries)
-    ranked = chosen.select(
-        (F.row_number().over(_by_pos()) - 1).cast("bigint").alias("pos"), "query"
-    )
+    sliced = time_slices(query_variants(lifted, suffixes), now, slice_hours, slice_lookback_hours)
+    chosen = sliced.orderBy("pos").limit(max_queries)
+    place = F.row_number().over(Window.orderBy("pos")) - 1
+    ranked = chosen.select(place.cast("bigint").alias("pos"), "query")
     searches = search_urls(ranked).select(F.lit(0).alias("_part"), "pos", "url")
     direct = feeds.select(F.lit(1).alias("_part"), F.col("pos").cast("bigint").alias("pos"), "url")
     return first_per_key(searches.unionByName(direct), ["url"], ["_part", "pos"]).select(
         F.col("_part").alias("direct"), "pos", "url"
     )
 
-
-def _by_pos():
-    """Global order over the at most ``max_queries`` chosen queries."""
-    from pyspark.sql import Window
-
-    return Window.orderBy("pos")

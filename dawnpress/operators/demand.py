@@ -117,21 +117,25 @@ def wishlist(
     Only top-k reports are folded into arrays, so every list is bounded by its parameter; the cohort map is bounded by
     the number of cohorts.
     """
-    ranked = lambda *cols: F.sort_array(F.collect_list(F.struct(*cols)))
+
+    def ranked(field: str, *cols: Column | str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct(*cols))), lambda x: x[field])
+
     domains = domain_demand(analysed, top=max_domains)
     terms = term_demand(analysed, inventory, top=max_queries)
     urls = known_feeds(domains, feeds)
-    names = domains.agg(ranked((-F.col("score")).alias("s"), "topic_name").alias("d"))
-    queries = terms.agg(ranked((-F.col("score")).alias("s"), "term").alias("q"))
-    extra = urls.agg(ranked((-F.col("score")).alias("s"), "topic_name", "feed_url").alias("u"))
+    best_first = (-F.col("score")).alias("s")
+    names = domains.agg(ranked("topic_name", best_first, "topic_name"))
+    queries = terms.agg(ranked("term", best_first, "term"))
+    extra = urls.agg(F.array_distinct(ranked("feed_url", best_first, "topic_name", "feed_url")))
     cohorts = cohort_summary(analysed).agg(
         F.sort_array(F.collect_list(F.struct("user_type", "interactions", "avg_reward", "avg_regret"))).alias("users")
     )
     return (
         log.agg(F.count(F.lit(1)).alias("interaction_rows_total"))
         .withColumn("interaction_rows_analyzed", analysed.agg(F.count(F.lit(1))).scalar())
-        .withColumn("queries", F.transform(queries.scalar(), lambda x: x["term"]))
-        .withColumn("preferred_domains", F.transform(names.scalar(), lambda x: x["topic_name"]))
-        .withColumn("extra_feed_urls", F.array_distinct(F.transform(extra.scalar(), lambda x: x["feed_url"])))
+        .withColumn("queries", queries.scalar())
+        .withColumn("preferred_domains", names.scalar())
+        .withColumn("extra_feed_urls", extra.scalar())
         .withColumn("user_summary", cohorts.scalar())
     )

@@ -9,6 +9,7 @@ from dawnpress.functions import numeric as N
 from dawnpress.functions import text as T
 from dawnpress.functions import wordlists as W
 from dawnpress.operators.frames import global_position
+from dawnpress.session import cut_lineage
 
 CHUNK_ROWS = 65_536
 # Id columns that the inventory must carry as non-negative integers.
@@ -62,9 +63,12 @@ def integer_ids(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def factorize(df: DataFrame, key: str, name: str, pos: str = "pos") -> DataFrame:
-    """Dense 0-based code of ``key`` by first appearance; null keys get 0."""
-    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(pos).alias("_first"))
+def factorize(df: DataFrame, key: str, name: str, pos: str = "pos", source: DataFrame | None = None) -> DataFrame:
+    """Dense 0-based code of ``key`` by first appearance; null keys get 0.
+
+    ``source`` holds the rows to take the order from when ``df`` is a derivation of it.
+    """
+    first = (source or df).where(F.col(key).isNotNull()).groupBy(key).agg(F.min(pos).alias("_first"))
     codes = global_position(first, ["_first"], F.floor(F.col("_first") / CHUNK_ROWS), name).drop("_first")
     return df.join(codes, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
@@ -117,6 +121,8 @@ def build_features(articles: DataFrame, now: Column, entity_rules=None, event_ru
         .withColumn("event_key", T.event_key(F.col("_text"), F.col("_tokens"), event_rules))
         .drop("_text", "_tokens")
     )
+    # Six aggregates read these rows: write them once, and code every dimension from them.
+    base = cut_lineage(base)
     out = topic_clusters(base)
     for key, name in (
         ("topic_name", "topic_id"),
@@ -124,8 +130,9 @@ def build_features(articles: DataFrame, now: Column, entity_rules=None, event_ru
         ("entity_key", "entity_id"),
         ("event_key", "event_id"),
     ):
-        out = factorize(out, key, name)
-    out = popularity(out)
+        out = factorize(out, key, name, source=base)
+    quartiles = popularity(base.select("pos", "topic_name")).select("pos", "popularity_bucket")
+    out = out.join(quartiles, "pos")
     return row_ids(out) if "item_id" not in out.columns else out
 
 

@@ -27,7 +27,7 @@ def is_wrapped(link: Column, wrapper: str = W.WRAPPER_DOMAIN) -> Column:
     return T.extract_domain(link) == wrapper
 
 
-def candidates(entries: DataFrame, target: int, wrapper_cap: int) -> DataFrame:
+def candidates(entries: DataFrame, target: int | None, wrapper_cap: int | None) -> DataFrame:
     """Feed entries worth keeping, in feed order: quality filter, first per key, caps.
 
     The wrapper cap counts wrapper entries as they are seen, before quality and duplicates. An entry that fails the
@@ -35,17 +35,17 @@ def candidates(entries: DataFrame, target: int, wrapper_cap: int) -> DataFrame:
     """
     h, s, u = F.col("headline"), F.col("summary"), F.col("link")
     tagged = entries.withColumn("_wrapped", is_wrapped(u))
-    direct = tagged.where(~F.col("_wrapped"))
-    wrapped = first_rows(tagged.where("_wrapped"), wrapper_cap)
+    if wrapper_cap is not None:
+        seen = first_rows(tagged.where("_wrapped"), wrapper_cap)
+        tagged = tagged.where(~F.col("_wrapped")).unionByName(seen)
     place = F.when(F.col("_wrapped"), T.topic_name(u, h, s)).otherwise(F.lower(T.strip(u)))
     good = (
-        direct.unionByName(wrapped)
-        .where(T.quality_item(h, s, u))
+        tagged.where(T.quality_item(h, s, u))
         .withColumn("_k1", place)
         .withColumn("_k2", F.lower(T.strip(h)))
     )
     kept = first_per_key(good, ["_k1", "_k2"], ["pos"]).drop("_wrapped", "_k1", "_k2")
-    return first_rows(kept, target)
+    return kept if target is None else first_rows(kept, target)
 
 
 def merge_new_first(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from dawnpress.operators.frames import first_per_key, sequence_number, top_per_k
 
 POOL_SIZE = 140
 NEW_PER_DAY = 20
-FRESHEST = [F.asc, F.desc]
 
 
 def freshness() -> list[Column]:
