@@ -84,6 +84,20 @@ def running(
     return joined.drop("_bucket", *extra)
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], seq: str, name: str, value: Column, bucket: int = BUCKET_ROWS
+) -> DataFrame:
+    """Add the inclusive running maximum of ``value`` along ``seq``; null until a value occurs."""
+    tagged = df.withColumn("_bucket", F.floor(F.col(seq) / bucket)).withColumn("_value", value)
+    groups = [*keys, "_bucket"]
+    inside = Window.partitionBy(*groups).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tagged.groupBy(*groups).agg(F.max("_value").alias("_top"))
+    offsets = tops.select(*groups, F.max("_top").over(earlier).alias("_before"))
+    joined = tagged.withColumn("_inside", F.max("_value").over(inside)).join(offsets, groups)
+    return joined.withColumn(name, F.greatest("_inside", "_before")).drop("_bucket", "_value", "_inside", "_before")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
     """Keep the first row of each key in ``order``.
 
