@@ -163,12 +163,14 @@ def _adaptive(spark, sf):
 @query(
     "running_mean_reward",
     with_tables(
-        f" SELECT event_id, round(avg(reward) OVER ({PER_SESSION} ROWS UNBOUNDED PRECEDING), 6) AS avg_reward FROM interaction_events",
+        f" SELECT event_id, round(avg(reward) OVER ({PER_SESSION} ROWS UNBOUNDED PRECEDING) * step, 3) AS mean_times_steps FROM interaction_events",
         INTERACTION_EVENTS,
     ),
 )
 def _running_mean(spark, sf):
-    return O.running_mean(log_rows(spark, sf), "reward", "avg_reward").select("event_id", R6("avg_reward"))
+    return O.running_mean(log_rows(spark, sf), "reward", "avg_reward").select(
+        "event_id", F.round(C("avg_reward") * C("step"), 3).alias("mean_times_steps")
+    )
 
 
 SQL_TOKEN = f"""
