@@ -178,14 +178,15 @@ SQL_STRICT = (
     f"{words([*W.CLUSTER_STOPWORDS, *W.STORY_BAD_TOKENS])}))"
 )
 GATED = f"""
+halves AS (SELECT item_id, CAST(topic_id // 10 AS BIGINT) AS cluster_id FROM articles),
 feat AS (SELECT item_id, {SQL_CATEGORY} AS category,
    list_distinct(list_concat({SQL_STRICT}, ['entity_group_' || (item_id % 19)])) AS ents,
    list_distinct(list_concat(list_transform(range(1, len({SQL_LONG})), lambda i: ({SQL_LONG})[i] || '_' || ({SQL_LONG})[i+1]),
      list_transform(range(1, len({SQL_LONG}) - 1), lambda i: ({SQL_LONG})[i] || '_' || ({SQL_LONG})[i+1] || '_' || ({SQL_LONG})[i+2]))) AS grams FROM articles),
 edf AS (SELECT e, count(*) AS df FROM (SELECT unnest(ents) AS e FROM feat) GROUP BY e HAVING count(*) <= 40),
 gdf AS (SELECT g FROM (SELECT unnest(grams) AS g FROM feat) GROUP BY g HAVING ln(((SELECT count(*) FROM articles) + 1) / (count(*) + 1)::DOUBLE) + 1 >= 5.2),
-el AS (SELECT cluster_id, item_id, e FROM (SELECT item_id, unnest(ents) AS e FROM feat) JOIN edf USING (e) JOIN av USING (item_id)),
-gl AS (SELECT cluster_id, item_id, g FROM (SELECT item_id, unnest(grams) AS g FROM feat) JOIN gdf USING (g) JOIN av USING (item_id)),
+el AS (SELECT cluster_id, item_id, e FROM (SELECT item_id, unnest(ents) AS e FROM feat) JOIN edf USING (e) JOIN halves USING (item_id)),
+gl AS (SELECT cluster_id, item_id, g FROM (SELECT item_id, unnest(grams) AS g FROM feat) JOIN gdf USING (g) JOIN halves USING (item_id)),
 eb AS (SELECT cluster_id, e FROM el GROUP BY ALL HAVING count(*) BETWEEN 2 AND 35),
 gb AS (SELECT cluster_id, g FROM gl GROUP BY ALL HAVING count(*) BETWEEN 2 AND 25),
 ep AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM eb JOIN el a USING (cluster_id, e) JOIN el b USING (cluster_id, e) WHERE a.item_id < b.item_id),
@@ -195,7 +196,7 @@ ec AS (SELECT a, b FROM ep JOIN feat fa ON fa.item_id = a JOIN feat fb ON fb.ite
      >= CASE WHEN fa.category = 'politics' OR fb.category = 'politics' THEN 3 ELSE 2 END),
 gc AS (SELECT a, b FROM gp WHERE (SELECT count(*) FROM gl x JOIN gl y ON x.g = y.g WHERE x.item_id = a AND y.item_id = b) >= 2),
 gated AS (SELECT p.a AS src, p.b AS dst FROM (SELECT * FROM ec UNION SELECT * FROM gc) p JOIN av va ON va.item_id = p.a JOIN av vb ON vb.item_id = p.b
-  WHERE list_dot_product(va.vec, vb.vec) >= 0.2)"""
+  WHERE list_dot_product(va.vec, vb.vec) >= -0.1)"""
 
 
 @query("gated_pairs", with_tables(" SELECT src, dst FROM gated", ARTICLES, MEMBERS, GATED))
@@ -209,12 +210,17 @@ def gated(spark, sf):
 
     features = cut_lineage(story_features(items(spark, sf), categories=CATEGORY_RULES))
     frequency = K.document_frequency(features.select("item_id", F.explode("entities").alias("entity")), "entity")
-    return K.gated_pairs(members(spark, sf), features.join(vectors(spark, sf), "item_id"), frequency, gate=0.2)
+    return K.gated_pairs(halves(spark, sf), features.join(vectors(spark, sf), "item_id"), frequency, gate=-0.1)
+
+
+def halves(spark, sf):
+    """Two large clusters of ten sources each."""
+    return X.articles(spark, sf).select(F.floor(C("topic_id") / 10).alias("cluster_id"), "item_id")
 
 
 @query("split_clusters")
 def _split_clusters(spark, sf):
-    return K.split_clusters(members(spark, sf), gated(spark, sf), 2)
+    return K.split_clusters(halves(spark, sf), gated(spark, sf), 2)
 
 
 @query("prune_by_titles")

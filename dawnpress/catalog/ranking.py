@@ -175,7 +175,7 @@ recent_clusters AS (SELECT session_id, topic_cluster_id, count(*) AS n FROM late
 streaks AS (SELECT session_id, min(topic_id) AS topic_id FROM latest WHERE seen_rank <= 5 GROUP BY 1 HAVING count(*) = 5 AND min(topic_id) = max(topic_id)),
 bad AS (SELECT session_id, topic_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, topic_id ORDER BY step DESC) AS rn FROM interactions) WHERE rn <= 12
         GROUP BY 1, 2 HAVING count(*) >= 4 AND avg(reward) <= -3),
-pairs AS (SELECT s.session_id, l.item_id, l.topic_id, l.topic_cluster_id, l.recency_bucket, round({sql_head_score(W.SERVING_WEIGHTS).replace('item_id', 'l.item_id').replace('session_id', 's.session_id')}, 9) AS base_score
+pairs AS (SELECT s.session_id, l.item_id, l.topic_id, l.topic_cluster_id, l.recency_bucket, {sql_head_score(W.SERVING_WEIGHTS).replace('item_id', 'l.item_id').replace('session_id', 's.session_id')} AS base_score
           FROM latest s JOIN latest l ON l.seen_rank = s.seen_rank AND s.session_id <> l.session_id AND s.seen_rank <= 3),
 cand AS (SELECT DISTINCT * FROM pairs)"""
 
@@ -208,7 +208,7 @@ def _pre_rank(spark, sf):
     items = last.select(C("session_id").alias("other"), "seen_rank", "item_id", "topic_id", "topic_name", "topic_cluster_id", "recency_bucket")
     cand = (
         last.select("session_id", "seen_rank").join(items, "seen_rank").where("session_id <> other").drop("other", "seen_rank").distinct()
-    ).withColumn("base_score", F.round(N.head_score(head_logits()), 9))
+    ).withColumn("base_score", N.head_score(head_logits()))
     topics, clusters, streaks = O.exposure(seen, "topic_id"), O.exposure(seen, "topic_cluster_id"), O.streak_topic(seen)
     serving = R.pre_rank(cand, topics, clusters, streaks).withColumn("rules", F.lit("serving"))
     training = R.pre_rank(cand, topics, clusters, streaks, O.bad_domains(log), R.TRAINING).withColumn("rules", F.lit("training"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -222,11 +223,11 @@ def entity_slug(entity_key: Column) -> Column:
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
-    return F.exists(words_in(keywords), lambda k: F.contains(text, k))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in keywords], F.lit(False))
 
 
 def count_contained(text: Column, keywords: Sequence[str]) -> Column:
-    return F.size(F.filter(words_in(keywords), lambda k: F.contains(text, k)))
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(k)).cast("int") for k in keywords], F.lit(0))
 
 
 def group_matches(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dawnpress.functions.text import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -17,8 +19,8 @@ def norm(a: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit vector; a (near) zero vector is returned unchanged."""
-    length = norm(a)
-    return F.when(length <= 1e-12, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / length))
+    length = lambda n: F.when(n <= 1e-12, 1.0).otherwise(n)
+    return bound(a, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / length(n))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from dawnpress.functions import numeric as N
 from dawnpress.functions import text as T
@@ -51,9 +52,20 @@ def random_index_vectors(terms: DataFrame, documents: int, dim: int = 256, sprea
     h = F.xxhash64(F.lit(salt), "token", "_i")
     signed = parts.select("item_id", F.pmod(h, F.lit(dim)).alias("_d"), F.when(h < 0, -F.col("w")).otherwise(F.col("w")).alias("_x"))
     summed = signed.groupBy("item_id", "_d").agg(F.sum("_x").alias("_x"))
-    packed = summed.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("_d", "_x"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.element_at("_m", d.cast("bigint")), F.lit(0.0)))
-    return packed.select("item_id", V.normalize(dense).alias("vec"))
+    packed = summed.groupBy("item_id").agg(F.collect_list(F.struct("_d", "_x")).alias("_m"))
+    return packed.select("item_id", _dense_unit("_m", F.lit(dim)).alias("vec"))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _dense_unit(entries: pd.Series, dim: pd.Series) -> pd.Series:
+    def scatter(pairs, size: int) -> np.ndarray:
+        vector = np.zeros(size)
+        for pair in pairs:
+            vector[pair["_d"]] += pair["_x"]
+        length = np.linalg.norm(vector)
+        return vector / length if length > 1e-12 else vector
+
+    return pd.Series([scatter(pairs, size) for pairs, size in zip(entries, dim)])
 
 
 def embedding_terms(items: DataFrame, entity_weight: float = 2.2, with_summary: bool = False) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,8 +112,8 @@ def replay_positives(log: DataFrame, threshold: float = 4.5, keep: int = 512, or
 class Segment:
     """Reader segment as data: style weights, keyword adjustments in order, reward tiers.
 
-    An adjustment is (keywords, factor, floor first); a gated one applies only without the named gate. ``tiers`` are
-    (above, reward) from high to low, ``otherwise`` the last reward.
+    ``adjustments`` are the tuples that ``segment_score`` reads. ``tiers`` are (above, reward) from high to low,
+    ``otherwise`` the last reward.
     """
 
     weights: Mapping[str, float]
@@ -121,7 +121,6 @@ class Segment:
     tiers: Sequence[tuple[float, float]] = ((1.2, 10.0), (0.8, 3.0))
     otherwise: float = -5.0
     default_weight: float = 1.0
-    extra: Mapping[str, float] = field(default_factory=dict)
 
 
 def segment_score(segment: Segment, style: Column, text: Column) -> Column:
@@ -143,11 +142,12 @@ def segment_score(segment: Segment, style: Column, text: Column) -> Column:
             score = F.when(hit, F.greatest(score, F.lit(1.0)) * factor).otherwise(score)
         elif kind == "unless":
             score = score * F.when(hit & ~T.contains_any(text, list(more[0])), factor).otherwise(1.0)
-        elif kind == "absent":
-            score = score * F.when(hit, 1.0).otherwise(factor)
-        elif kind == "count":
-            grown = F.least(F.lit(more[1]), T.count_contained(text, list(words)) * more[0]) + factor
-            score = score * F.when(hit, grown).otherwise(1.0)
+        elif kind == "either":
+            score = score * F.when(hit, factor).otherwise(more[0])
+        elif kind == "count_or":
+            per_hit, most, otherwise = more
+            grown = F.least(F.lit(most), T.count_contained(text, list(words)) * per_hit) + factor
+            score = score * F.when(hit, grown).otherwise(otherwise)
         else:
             raise ValueError(f"unknown adjustment {kind}")
     return score
