@@ -127,8 +127,8 @@ def segment_score(segment: Segment, style: Column, text: Column) -> Column:
     """Style weight times keyword factors.
 
     Adjustment kinds: ("boost", words, factor), ("lift", words, factor) raises the weight to 1 first, ("unless", words,
-    factor, gate words) skips texts that hit the gate, ("absent", words, factor) applies when no word occurs and
-    ("count", words, base, per hit, cap) grows with the number of words found.
+    factor, gate words) skips texts that hit the gate, ("either", words, factor, otherwise) has a factor for both cases and
+    ("count_or", words, base, per hit, most, otherwise) grows with the number of words found.
     """
     low = F.lower(F.coalesce(style, F.lit("Standard Reporting")))
     score = F.lit(segment.default_weight)

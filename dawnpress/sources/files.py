@@ -95,7 +95,7 @@ def append_json(rows: DataFrame, path: str) -> None:
 def read_wishlist(spark: SparkSession, path: str) -> DataFrame:
     """Stored wishlist documents with each list stripped, without blanks and repeats."""
     lists = ["queries", "preferred_domains", "extra_feed_urls"]
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(F.try_parse_json("value").alias("doc"))
 
     def tidy(name: str) -> Column:
@@ -188,6 +188,6 @@ def evaluation_report(personas: DataFrame, overall: DataFrame) -> DataFrame:
     )
     means = [c for c in overall.columns if c != "condition"]
     joined = per.join(overall, "condition").select("condition", F.struct(F.struct(*means).alias("overall"), "personas").alias("c"))
-    return joined.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("condition", "c")))).alias("conditions")).select(
+    return joined.agg(F.map_from_entries(F.collect_list(F.struct("condition", "c"))).alias("conditions")).select(
         F.to_json(F.struct("conditions")).alias("value")
     )
