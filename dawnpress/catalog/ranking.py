@@ -154,9 +154,11 @@ recalled AS (SELECT * FROM (SELECT session_id, item_id, channel, target, CAST(ro
 
 
 def recall_inputs(spark, sf):
-    seen = O.latest_seen(X.interactions(spark, sf))
-    universe = article_vectors(spark, sf).select("item_id", "vec", "popularity_bucket", "recency_bucket")
-    return user_vectors(spark, sf, seen), seen, universe
+    from dawnpress.session import cut_lineage
+
+    seen = cut_lineage(O.latest_seen(X.interactions(spark, sf)))
+    universe = cut_lineage(article_vectors(spark, sf).select("item_id", "vec", "popularity_bucket", "recency_bucket"))
+    return cut_lineage(user_vectors(spark, sf, seen)), seen, universe
 
 
 @query(
@@ -175,9 +177,8 @@ recent_clusters AS (SELECT session_id, topic_cluster_id, count(*) AS n FROM late
 streaks AS (SELECT session_id, min(topic_id) AS topic_id FROM latest WHERE seen_rank <= 5 GROUP BY 1 HAVING count(*) = 5 AND min(topic_id) = max(topic_id)),
 bad AS (SELECT session_id, topic_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, topic_id ORDER BY step DESC) AS rn FROM interactions) WHERE rn <= 12
         GROUP BY 1, 2 HAVING count(*) >= 4 AND avg(reward) <= -3),
-pairs AS (SELECT s.session_id, l.item_id, l.topic_id, l.topic_cluster_id, l.recency_bucket, {sql_head_score(W.SERVING_WEIGHTS).replace('item_id', 'l.item_id').replace('session_id', 's.session_id')} AS base_score
-          FROM latest s JOIN latest l ON l.seen_rank = s.seen_rank AND s.session_id <> l.session_id AND s.seen_rank <= 3),
-cand AS (SELECT DISTINCT * FROM pairs)"""
+cand AS (SELECT r.session_id, r.item_id, a.topic_id, a.topic_cluster_id, a.recency_bucket, {sql_head_score(W.SERVING_WEIGHTS).replace('item_id', 'r.item_id').replace('session_id', 'r.session_id')} AS base_score
+         FROM recalled r JOIN articles a ON a.item_id = r.item_id)"""
 
 
 @query(
@@ -197,21 +198,23 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY rules, session_id ORDER BY
 SELECT rules, session_id, item_id, pre_rank, round(score, 6) AS score FROM r WHERE pre_rank <= size""",
         INTERACTIONS,
         LATEST,
+        VECTORS,
+        BLOCKED,
+        RECALL,
         PRE_RANK,
     ),
 )
 def _pre_rank(spark, sf):
-    """Candidates of a session: what the other sessions saw in their last three interactions."""
-    log = X.interactions(spark, sf)
-    seen = O.latest_seen(log)
-    last = seen.where("seen_rank <= 3")
-    items = last.select(C("session_id").alias("other"), "seen_rank", "item_id", "topic_id", "topic_name", "topic_cluster_id", "recency_bucket")
-    cand = (
-        last.select("session_id", "seen_rank").join(items, "seen_rank").where("session_id <> other").drop("other", "seen_rank").distinct()
-    ).withColumn("base_score", N.head_score(head_logits()))
+    from dawnpress.session import cut_lineage
+
+    users, seen, universe = recall_inputs(spark, sf)
+    bad = O.bad_domains(X.interactions(spark, sf))
+    features = X.articles(spark, sf).select("item_id", "topic_id", "topic_name", "topic_cluster_id", "recency_bucket")
+    recalled = Q.recall(users, seen, universe).select("session_id", "item_id")
+    cand = cut_lineage(recalled.join(features, "item_id").withColumn("base_score", N.head_score(head_logits())))
     topics, clusters, streaks = O.exposure(seen, "topic_id"), O.exposure(seen, "topic_cluster_id"), O.streak_topic(seen)
     serving = R.pre_rank(cand, topics, clusters, streaks).withColumn("rules", F.lit("serving"))
-    training = R.pre_rank(cand, topics, clusters, streaks, O.bad_domains(log), R.TRAINING).withColumn("rules", F.lit("training"))
+    training = R.pre_rank(cand, topics, clusters, streaks, bad, R.TRAINING).withColumn("rules", F.lit("training"))
     cols = ["rules", "session_id", "item_id", "pre_rank", R6("score")]
     return serving.select(cols).unionByName(training.select(cols))
 
@@ -255,23 +258,22 @@ def seeds(spark, sf, sessions):
 def _seed_rerank(spark, sf):
     """The session's latest items, reordered by its interests and commute."""
     seen = O.latest_seen(X.interactions(spark, sf))
-    texts = X.articles(spark, sf).select("item_id", "headline", "summary", "topic_name", "vibe_style", "recency_bucket")
+    texts = R.item_texts(X.articles(spark, sf))
     ranked = seen.select("session_id", "item_id", C("seen_rank").alias("pre_rank"), (F.lit(1.0) / C("seen_rank")).alias("score"))
-    joined = ranked.join(texts, "item_id")
-    out = R.seed_rerank(joined, seeds(spark, sf, seen.select("session_id").distinct()))
+    out = R.seed_rerank(ranked, seeds(spark, sf, seen.select("session_id").distinct()), texts)
     return out.select("session_id", "item_id", R6("score"), "pre_rank")
 
 
 def _feed(spark, sf, k):
     from dawnpress.plans.feed import cascade
+    from dawnpress.session import cut_lineage
 
     log = X.interactions(spark, sf)
-    seen = O.latest_seen(log)
+    users, seen, universe = recall_inputs(spark, sf)
     steps = log.groupBy("session_id").agg(F.max("step").alias("step"))
-    sessions = user_vectors(spark, sf, seen).join(steps, "session_id")
-    items = article_vectors(spark, sf)
-    universe = items.select("item_id", "vec", "popularity_bucket", "recency_bucket")
-    feed = cascade(sessions, log, universe, items.drop("vec"), head_logits(), seeds(spark, sf, sessions), k)
+    sessions = cut_lineage(users.join(steps, "session_id"))
+    items = X.articles(spark, sf)
+    feed = cascade(sessions, seen, universe, items, head_logits(), seeds(spark, sf, sessions), k)
     return feed.select("session_id", "feed_rank", "id", F.md5("title").alias("title"), "domain", "link")
 
 

@@ -176,20 +176,27 @@ def interest_bonus(haystack: Column, hay_tokens: Column, phrases: Column, tokens
     return F.least(F.lit(1.0), raw) * weight
 
 
-def commute_bonus(commute: Column, recency: Column, summary: Column, style: Column, weight: float = 0.08) -> Column:
+def freshness(recency: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(4.0) - recency) / 4.0
+
+
+def depth(summary: Column, style: Column) -> Column:
+    """Length of the summary against 55 words; reflective styles count as deep."""
+    reflective = contains_any(F.lower(F.coalesce(style, F.lit(""))), ["analytical", "deep"])
+    words = F.least(F.lit(1.0), word_count(summary) / 55.0)
+    return F.when(reflective, F.greatest(words, F.lit(0.8))).otherwise(words)
+
+
+def commute_bonus(commute: Column, fresh: Column, deep: Column, weight: float = 0.08) -> Column:
     """Short trips favour fresh items, long trips favour depth, anything else the mean of both."""
     low = F.lower(F.coalesce(commute, F.lit("")))
-    freshness = F.greatest(F.lit(0.0), F.lit(4.0) - recency) / 4.0
-    depth = F.least(F.lit(1.0), word_count(summary) / 55.0)
-    reflective = contains_any(F.lower(F.coalesce(style, F.lit(""))), ["analytical", "deep"])
-    depth = F.when(reflective, F.greatest(depth, F.lit(0.8))).otherwise(depth)
     short = contains_any(low, ["short", "quick", "brief", "under_15", "<15"])
     long = contains_any(low, ["long", "extended", "30", "over_30", "train"])
     return (
         F.when(low == "", 0.0)
-        .when(short, freshness * weight)
-        .when(long, depth * weight)
-        .otherwise((freshness * 0.5 + depth * 0.5) * weight)
+        .when(short, fresh * weight)
+        .when(long, deep * weight)
+        .otherwise((fresh * 0.5 + deep * 0.5) * weight)
     )
 
 
