@@ -48,7 +48,9 @@ def test_rules(spark):
     assert keys("gpt-5 zero-day") == ("unknown_entity", "unknown_event")
     assert keys("gpt-5 zero-day", hyphen_phrases=True) == ("openai", "cyber_threat")
     assert one(spark, T.training_entity_key(F.col("h")), h="Court rules on toxic formula") == "structural_governance"
-    assert one(spark, T.emotion(F.col("h")), h="Outrage and risk: panic grows") == "fear"
+    assert one(spark, T.emotion(F.col("h")), h="They warn of risk: panic grows") == "fear"
+    # "rage" is found inside "outrage" too, and the earlier label wins the tie.
+    assert one(spark, T.emotion(F.col("h")), h="Outrage and risk: panic grows") == "anger"
     assert one(spark, T.emotion(F.col("h")), h="A fury of risk") == "anger"
     assert one(spark, T.category(F.col("h")), h="Prime Minister visits chip plant") == "tech"
     assert one(spark, T.category(F.col("h")), h="The prime minister") == "politics"
