@@ -29,7 +29,7 @@ from dawnpress.operators.frames import sequence_number
 
 CAPACITY = 4096
 END_ID = 1
-GRID = 32
+GRID = 16
 PATTERN_PIECES = 3
 #: Cached chunks per Python worker; beyond that the cache starts anew. Longer chunks are not cached.
 CACHED, CACHED_LENGTH = 500_000, 48
