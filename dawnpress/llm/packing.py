@@ -95,7 +95,9 @@ class ChunkIds:
         return [b"".join(f) for f in found]
 
 
-chunk_ids = lru_cache(maxsize=2)(ChunkIds)
+@lru_cache(maxsize=2)
+def chunk_ids(path: str) -> ChunkIds:
+    return ChunkIds(path)
 
 
 def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
