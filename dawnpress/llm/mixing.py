@@ -27,7 +27,7 @@ from dawnpress.operators.frames import global_position
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-BUCKET = 20_000
+BUCKET = 4096
 SEED = "mix"
 #: Probabilities this near to 0 or 1 count as 0 or 1.
 EDGE = 1e-12
@@ -101,7 +101,8 @@ def plan_mix(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> Plan:
     below = Window.partitionBy("_source").orderBy("_level").rowsBetween(Window.unboundedPreceding, 0)
     value = level_weight(F.col("_level"))
     # with the classes above at the cap, the factor that makes the rest meet the target; the highest that keeps to the cap holds
-    factor = (F.col("target") - cap * F.coalesce(F.sum("_words").over(above), F.lit(0))) / F.sum(F.col("_words") * value).over(below)
+    rest = F.col("target") - cap * F.coalesce(F.sum("_words").over(above), F.lit(0))
+    factor = F.try_divide(rest, F.sum(F.col("_words") * value).over(below))  # null where no class has words
     tried = strata.join(targets, "_source").withColumn("_value", value).withColumn("_factor", factor)
     holds = F.when(F.col("_factor") * F.col("_value") <= cap, F.struct("_level", "_factor"))
     factors = tried.groupBy("_source").agg(F.max(holds)["_factor"].alias("_factor"), F.max("target").alias("_target"))
