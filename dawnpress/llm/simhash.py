@@ -14,7 +14,7 @@ smallest non-null id of their component (null if it has none); other columns are
 
 from __future__ import annotations
 
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, islice
 
 import numpy as np
 import xxhash
@@ -46,7 +46,7 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
         grams, total = (joined[a : b - 1] for a, b in zip(starts, ends[shingle - 1 :], strict=True)), n - shingle + 1
     counts = np.zeros(BITS, np.int64)
     for _ in range(0, total, CHUNK):
-        some = b"".join([digest(g, SEED) for g, _ in zip(grams, range(CHUNK))])
+        some = b"".join([digest(g, SEED) for g in islice(grams, CHUNK)])
         counts += np.unpackbits(np.frombuffer(some, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
     return int(np.packbits(counts * 2 > total).view(">i8")[0])
 
