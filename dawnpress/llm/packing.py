@@ -221,6 +221,19 @@ class Packer:
                 first, count = first + put, count - put
         return out
 
+    def fill(self, shapes: list[tuple[int, ...]], repeats: np.ndarray, bins: dict[int, list[int]]) -> None:
+        """Open so many sequences of each pattern and deal pieces to all its places but the last."""
+        for j in np.flatnonzero(repeats).tolist():
+            shape = shapes[j]
+            supply = min(sum(self.left[n] for n in bins[k]) // shape.count(k) for k in set(shape))
+            count = min(int(repeats[j]), supply)
+            if count:
+                runs = [(*self.new(count), self.capacity)]
+                for i, k in enumerate(shape[:-1]):
+                    runs = self.deal(bins[k] if i % 2 == 0 else bins[k][::-1], runs)
+                for first, number, room in runs:
+                    self.open[room].append((first, number))
+
     def best_fit(self) -> None:
         for length in sorted((n for n, k in self.left.items() if k), reverse=True):
             while self.left[length]:
@@ -234,31 +247,31 @@ class Packer:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID) -> tuple[np.ndarray, int]:
-    """Runs (length, first rank, pieces, first sequence, offset) that place every piece, and the number of sequences."""
-    packer = Packer(histogram, capacity)
+    """Runs (length, first rank, pieces, first sequence, offset) that place every piece, and the number of sequences.
+
+    Repeat counts are rounded down from the fit; as a fit can promise more closing pieces than there are, half the counts and none
+    are tried too, and the plan with the fewest sequences is taken.
+    """
     parts = capacity // grid
     bins: dict[int, list[int]] = {}
     for length in sorted(histogram, reverse=True):
         bins.setdefault(-(-length // grid), []).append(length)
     wanted = np.array([sum(histogram[n] for n in bins.get(k, ())) for k in range(1, parts + 1)], float)
-    shapes = [p for p in patterns(parts) if all(k in bins for k in p)]
+    shapes = sorted((p for p in patterns(parts) if all(k in bins for k in p)), reverse=True)
+    repeats = np.zeros(len(shapes))
     if shapes:
         matrix = np.zeros((parts, len(shapes)))
         for j, shape in enumerate(shapes):
             np.add.at(matrix[:, j], np.array(shape) - 1, 1)
-        repeats = np.floor(nnls(matrix, wanted) + 1e-6).astype(int)
-        for j in sorted(np.flatnonzero(repeats), key=lambda j: shapes[j], reverse=True):
-            shape = shapes[j]
-            supply = min(sum(packer.left[n] for n in bins[k]) // shape.count(k) for k in set(shape))
-            count = min(int(repeats[j]), supply)
-            if count:
-                runs = [(*packer.new(count), capacity)]
-                for i, k in enumerate(shape[:-1]):
-                    runs = packer.deal(bins[k] if i % 2 == 0 else bins[k][::-1], runs)
-                for first, number, room in runs:
-                    packer.open[room].append((first, number))
-    packer.best_fit()
-    return np.array(packer.runs, np.int64).reshape(-1, 5), packer.sequences
+        repeats = nnls(matrix, wanted)
+    tried = []
+    for part in (1.0, 0.5, 0.0):
+        packer = Packer(histogram, capacity)
+        packer.fill(shapes, np.floor(part * repeats + 1e-6).astype(int), bins)
+        packer.best_fit()
+        tried.append(packer)
+    best = min(tried, key=lambda p: p.sequences)
+    return np.array(best.runs, np.int64).reshape(-1, 5), best.sequences
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataFrame:

@@ -30,6 +30,8 @@ COMBINATIONS = 5_000
 SURE = 0.8
 ROUNDS, DAMPING = 12, 0.3
 STEPS, RATE, PENALTY = 300, 0.5, 1e-3
+#: Agreement across skip edges that the fit starts from and is drawn to.
+AGREE = 2.0
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -115,15 +117,25 @@ class Graph:
         self.features: list[tuple[int, ...]] = []
         self.known: list[int] = []  # label by the patterns, or 0
         self.chain: list[tuple[int, int]] = []
+        self.joined: set[int] = set()  # nodes with an edge to the one before
         self.skip: list[tuple[int, int]] = []
 
+    def extend_back(self, text: str, earlier: int, node: int, first: int) -> None:
+        """Skip edges for the tokens before two similar ones, as far as they repeat too."""
+        while earlier > first and node > earlier + 1 and earlier in self.joined and node in self.joined:
+            earlier, node = earlier - 1, node - 1
+            (_, a, b), (_, c, d) = self.places[earlier], self.places[node]
+            if text[a:b] != text[c:d] or (earlier, node) in self.skip[-8:]:
+                break
+            self.skip.append((earlier, node))
+
     def add(self, document: int, text: str, spans: list[tuple[int, int, int]]) -> None:
         if "@" not in text and not DIGIT.search(text):
             return
         tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
         marks, at = sorted((a, b, k) for k, a, b in spans), 0
         seen: dict[str, int] = {}
-        last = -2
+        first, last = len(self.places), -2
         for i, (a, b) in enumerate(tokens):
             token = text[a:b]
             if "@" not in token and not DIGIT.search(token):
@@ -139,10 +151,12 @@ class Graph:
             self.known.append(label)
             if last == i - 1:
                 self.chain.append((node - 1, node))
+                self.joined.add(node)
             key = similar_key(token)
             if key is not None:
                 if key in seen:
                     self.skip.append((seen[key], node))
+                    self.extend_back(text, seen[key], node, first)
                 seen[key] = node
             last = i
 
@@ -160,6 +174,8 @@ def combinations(docs: DataFrame) -> list:
         for a, b in graph.skip:
             across[a], across[b] = graph.known[b], graph.known[a]
         for i, (features, label) in enumerate(zip(graph.features, graph.known, strict=True)):
+            if not label and across.get(i, 0) > 0:
+                continue  # what the patterns miss of a similar token is unknown, not other
             counts[(*features, before.get(i, -1), after.get(i, -1), across.get(i, -1), label)] += 1
         return {"combination": [list(k) for k in counts], "n": list(counts.values())}
 
@@ -207,10 +223,10 @@ class Field:
             return []
         sure = self.marginals(graph)
         label = np.where(sure.max(axis=1) >= SURE, sure.argmax(axis=1), 0)
-        joined, found = {b for _, b in graph.chain}, []
+        found: list = []
         for i in np.flatnonzero((label > 0) & (np.array(graph.known) == 0)).tolist():
             document, start, end = graph.places[i]
-            if found and i in joined and found[-1][4] == i - 1 and found[-1][1] == label[i] - 1:
+            if found and i in graph.joined and found[-1][4] == i - 1 and found[-1][1] == label[i] - 1:
                 found[-1] = (document, found[-1][1], found[-1][2], end, i)
             else:
                 found.append((document, int(label[i]) - 1, start, end, i))
@@ -220,7 +236,7 @@ class Field:
 def train(docs: DataFrame) -> Field:
     """Fit the potentials by pseudo-likelihood; a corpus without candidates gives a field that adds nothing."""
     k, rows = len(LABELS), combinations(docs)
-    unary, chain, agree = np.zeros((PLACES, k)), np.zeros((k, k)), 0.0
+    unary, chain, agree = np.zeros((PLACES, k)), np.zeros((k, k)), AGREE
     if not rows:
         return Field(unary, chain, agree)
     table = np.array([r["combination"] for r in rows])
@@ -238,7 +254,7 @@ def train(docs: DataFrame) -> Field:
         step = np.zeros_like(unary)
         for j in range(features.shape[1]):
             np.add.at(step, features[:, j], error)
-        slopes = [step - PENALTY * unary, was.T @ error + error.T @ will - PENALTY * chain, float((twin * error).sum()) - PENALTY * agree]
+        slopes = [step - PENALTY * unary, was.T @ error + error.T @ will - PENALTY * chain, float((twin * error).sum()) - PENALTY * (agree - AGREE)]
         moments = [m + g * g for m, g in zip(moments, slopes, strict=True)]
         unary += RATE * slopes[0] / np.sqrt(moments[0] + 1e-9)
         chain += RATE * slopes[1] / np.sqrt(moments[1] + 1e-9)
