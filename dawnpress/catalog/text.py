@@ -37,11 +37,11 @@ EMOTION_RULES = {
     "surprise": ["ción", "adoe", "mente"],
 }
 CATEGORY_RULES = {
-    "tech": "les|aux|une",
-    "business": "der|die|und nicht",
-    "politics": "los|las|que el",
-    "sports": "that|was the",
-    "other_words": "an",
+    "tech": ["les", "aux", "une"],
+    "business": ["der", "die", "und nicht"],
+    "politics": ["los", "las", "que el"],
+    "sports": ["that", "was the"],
+    "other_words": ["an"],
 }
 
 
@@ -100,7 +100,7 @@ def sql_sentences(x: str) -> str:
     )
 
 
-def sql_word_regex(alternatives: str) -> str:
+def sql_word_regex(alternatives: list[str]) -> str:
     return T.whole_words(alternatives).replace("'", "''")
 
 
@@ -419,7 +419,7 @@ def _keyword_matches(spark, sf):
         SQL_RULE_INPUT
         + f"""
 SELECT item_id, {sql_rules(ENTITY_RULES, 'unknown_entity')} AS entity_key,
-       {sql_rules(T.parsed_groups(W.ENTITY_GROUPS), 'unknown_entity')} AS news_key FROM r""",
+       {sql_rules(W.ENTITY_GROUPS, 'unknown_entity')} AS news_key FROM r""",
         ARTICLES,
     ),
 )
@@ -437,7 +437,7 @@ def _entity_key(spark, sf):
         SQL_RULE_INPUT
         + f"""
 SELECT item_id, {sql_rules(EVENT_RULES, 'unknown_event')} AS event_key,
-       {sql_rules(T.parsed_groups(W.EVENT_GROUPS), 'unknown_event')} AS news_key FROM r""",
+       {sql_rules(W.EVENT_GROUPS, 'unknown_event')} AS news_key FROM r""",
         ARTICLES,
     ),
 )
@@ -455,9 +455,9 @@ def _event_key(spark, sf):
         SQL_RULE_INPUT
         + f""", h AS (SELECT item_id, head, regexp_extract_all(head, '[a-z0-9]+') AS htoks FROM r)
 SELECT item_id,
-       {sql_substring_rules(T.parsed_groups(W.SERVING_ENTITY_GROUPS), 'head')} AS serving_entity,
-       {sql_substring_rules(T.parsed_groups(W.HEADLINE_EVENT_GROUPS), 'head')} AS headline_event,
-       {sql_rules(T.parsed_groups(W.TRAINING_ENTITY_GROUPS), 'general_tech_other', 'head', 'htoks')} AS training_entity,
+       {sql_substring_rules(W.SERVING_ENTITY_GROUPS, 'head')} AS serving_entity,
+       {sql_substring_rules(W.HEADLINE_EVENT_GROUPS, 'head')} AS headline_event,
+       {sql_rules(W.TRAINING_ENTITY_GROUPS, 'general_tech_other', 'head', 'htoks')} AS training_entity,
        {sql_rules(ENTITY_RULES, 'general_tech_other', 'head', 'htoks')} AS prose_entity
 FROM h""",
         ARTICLES,
@@ -466,8 +466,8 @@ FROM h""",
 def _headline_keys(spark, sf):
     return rule_input(spark, sf).select(
         "item_id",
-        T.substring_key(C("head"), T.parsed_groups(W.SERVING_ENTITY_GROUPS)).alias("serving_entity"),
-        T.substring_key(C("head"), T.parsed_groups(W.HEADLINE_EVENT_GROUPS)).alias("headline_event"),
+        T.substring_key(C("head"), W.SERVING_ENTITY_GROUPS).alias("serving_entity"),
+        T.substring_key(C("head"), W.HEADLINE_EVENT_GROUPS).alias("headline_event"),
         T.training_entity_key(C("head")).alias("training_entity"),
         T.training_entity_key(C("head"), ENTITY_RULES).alias("prose_entity"),
     )

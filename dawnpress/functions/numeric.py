@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -200,7 +200,7 @@ def commute_bonus(commute: Column, fresh: Column, deep: Column, weight: float =
     )
 
 
-def cluster_bucket(category: Column, headline_and_entities: Column, ai_words: str = W.AI_BUCKET_WORDS) -> Column:
+def cluster_bucket(category: Column, headline_and_entities: Column, ai_words: Sequence[str] = W.AI_BUCKET_WORDS) -> Column:
     about_ai = F.rlike(F.lower(headline_and_entities), F.lit(whole_words(ai_words)))
     return (
         F.when((category == "tech") & about_ai, "ai")

@@ -261,10 +261,6 @@ def first_group(matches: Sequence[tuple[str, Column]], default: str) -> Column:
     return chain.otherwise(default)
 
 
-def parsed_groups(groups: Mapping[str, str]) -> dict[str, list[str]]:
-    return {name: W.keywords(words) for name, words in groups.items()}
-
-
 def rule_text(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *[text_or_empty(p) for p in parts]))
 
@@ -274,16 +270,16 @@ def rule_tokens(text: Column) -> Column:
 
 
 def entity_key(text: Column, tokens: Column, groups: Mapping[str, Sequence[str]] | None = None, **options) -> Column:
-    return first_group(group_matches(text, tokens, groups or parsed_groups(W.ENTITY_GROUPS), **options), "unknown_entity")
+    return first_group(group_matches(text, tokens, groups or W.ENTITY_GROUPS, **options), "unknown_entity")
 
 
 def event_key(text: Column, tokens: Column, groups: Mapping[str, Sequence[str]] | None = None, **options) -> Column:
-    return first_group(group_matches(text, tokens, groups or parsed_groups(W.EVENT_GROUPS), **options), "unknown_event")
+    return first_group(group_matches(text, tokens, groups or W.EVENT_GROUPS, **options), "unknown_event")
 
 
 def training_entity_key(headline: Column, groups: Mapping[str, Sequence[str]] | None = None) -> Column:
     text = F.lower(text_or_empty(headline))
-    matches = group_matches(text, rule_tokens(text), groups or parsed_groups(W.TRAINING_ENTITY_GROUPS))
+    matches = group_matches(text, rule_tokens(text), groups or W.TRAINING_ENTITY_GROUPS)
     return first_group(matches, "general_tech_other")
 
 
@@ -311,15 +307,31 @@ def style_of_emotion(label: Column) -> Column:
     return chain.otherwise(W.DEFAULT_STYLE)
 
 
-def whole_words(alternatives: str) -> str:
-    """Pattern for any of ``a|b c`` on Unicode word boundaries, written without look-around."""
-    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{alternatives})(?:$|[^\p{{L}}\p{{N}}_])"
+def whole_words(alternatives: Sequence[str]) -> str:
+    """Pattern for any of the words or phrases on Unicode word boundaries, written without look-around."""
+    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(alternatives)})(?:$|[^\p{{L}}\p{{N}}_])"
+
 
+def category(text: Column, words: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """First group with a whole word or phrase in the text, else ``other``.
 
-def category(text: Column, words: Mapping[str, str] | None = None) -> Column:
+    The text is split once and cut to the words that occur in any group; only phrases search the text itself.
+    """
     lowered = F.lower(text)
     words = words or W.CATEGORY_WORDS
-    return first_group([(name, F.rlike(lowered, F.lit(whole_words(w)))) for name, w in words.items()], "other")
+    single = {name: [w for w in group if w.isalnum()] for name, group in words.items()}
+    phrases = {name: [w for w in group if not w.isalnum()] for name, group in words.items()}
+    known = F.array(*[F.lit(w) for w in sorted({w for group in single.values() for w in group})])
+    met = F.array_intersect(F.split(lowered, r"[^\p{L}\p{N}_]+"), known)
+
+    def named(found: Column) -> Column:
+        tests = []
+        for name in words:
+            test = F.arrays_overlap(found, F.array(*[F.lit(w) for w in single[name]])) if single[name] else F.lit(False)
+            tests.append((name, test | F.rlike(lowered, F.lit(whole_words(phrases[name]))) if phrases[name] else test))
+        return first_group(tests, "other")
+
+    return F.element_at(F.transform(F.array(met), named), 1)
 
 
 def quality_item(headline: Column, summary: Column, link: Column, wrapper: str = W.WRAPPER_DOMAIN) -> Column:
@@ -376,7 +388,7 @@ def event_label(label: Column, limit: int = 60, full_entities: bool = True) -> C
         F.transform(
             F.split(bare, " "),
             lambda w: F.when(acronym(w), w).otherwise(
-                F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))
+                F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
             ),
         ),
         " ",
