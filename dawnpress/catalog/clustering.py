@@ -20,7 +20,7 @@ R6 = lambda name: F.round(name, 6).alias(name)
 
 ENTITIES = f"""
 ents AS (SELECT DISTINCT item_id, unnest({SQL_LENIENT.replace('(text,', '(headline,')}) AS entity FROM articles),
-rare AS (SELECT entity FROM ents GROUP BY entity HAVING count(*) BETWEEN 2 AND 30),
+rare AS (SELECT entity FROM ents GROUP BY entity HAVING count(*) >= 2 AND ln(((SELECT count(*) FROM articles) + 1) / (count(*) + 1)::DOUBLE) + 1 >= 4.5),
 kept AS (SELECT * FROM ents JOIN rare USING (entity)),
 pairs AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM kept a JOIN kept b ON a.entity = b.entity AND a.item_id < b.item_id
           GROUP BY 1, 2 HAVING count(*) >= 2)"""
@@ -40,7 +40,8 @@ def _entity_frequency(spark, sf):
 
 @query("shared_entity_pairs", with_tables(" SELECT a, b, shared FROM pairs", ARTICLES, ENTITIES))
 def _shared_entity_pairs(spark, sf):
-    return K.shared_entity_pairs(K.headline_entities(items(spark, sf)))
+    rows = items(spark, sf)
+    return K.shared_entity_pairs(K.headline_entities(rows), total=rows.count())
 
 
 COMPONENTS = """
@@ -60,7 +61,7 @@ comp AS (SELECT node AS item_id, min(root) AS component FROM reach GROUP BY node
 )
 def _components(spark, sf):
     rows = items(spark, sf)
-    pairs = K.shared_entity_pairs(K.headline_entities(rows))
+    pairs = K.shared_entity_pairs(K.headline_entities(rows), total=rows.count())
     return connected_components(pairs.select(C("a").alias("src"), C("b").alias("dst")), rows)
 
 
@@ -183,18 +184,16 @@ feat AS (SELECT item_id, {SQL_CATEGORY} AS category,
    list_distinct(list_concat({SQL_STRICT}, ['entity_group_' || (item_id % 19)])) AS ents,
    list_distinct(list_concat(list_transform(range(1, len({SQL_LONG})), lambda i: ({SQL_LONG})[i] || '_' || ({SQL_LONG})[i+1]),
      list_transform(range(1, len({SQL_LONG}) - 1), lambda i: ({SQL_LONG})[i] || '_' || ({SQL_LONG})[i+1] || '_' || ({SQL_LONG})[i+2]))) AS grams FROM articles),
-edf AS (SELECT e, count(*) AS df FROM (SELECT unnest(ents) AS e FROM feat) GROUP BY e HAVING count(*) <= 40),
+edf AS (SELECT e, count(*) AS df FROM (SELECT unnest(ents) AS e FROM feat) GROUP BY e HAVING ln(((SELECT count(*) FROM articles) + 1) / (count(*) + 1)::DOUBLE) + 1 >= 4.2),
 gdf AS (SELECT g FROM (SELECT unnest(grams) AS g FROM feat) GROUP BY g HAVING ln(((SELECT count(*) FROM articles) + 1) / (count(*) + 1)::DOUBLE) + 1 >= 5.2),
 el AS (SELECT cluster_id, item_id, e FROM (SELECT item_id, unnest(ents) AS e FROM feat) JOIN edf USING (e) JOIN halves USING (item_id)),
 gl AS (SELECT cluster_id, item_id, g FROM (SELECT item_id, unnest(grams) AS g FROM feat) JOIN gdf USING (g) JOIN halves USING (item_id)),
-eb AS (SELECT cluster_id, e FROM el GROUP BY ALL HAVING count(*) BETWEEN 2 AND 35),
-gb AS (SELECT cluster_id, g FROM gl GROUP BY ALL HAVING count(*) BETWEEN 2 AND 25),
-ep AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM eb JOIN el a USING (cluster_id, e) JOIN el b USING (cluster_id, e) WHERE a.item_id < b.item_id),
-gp AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM gb JOIN gl a USING (cluster_id, g) JOIN gl b USING (cluster_id, g) WHERE a.item_id < b.item_id),
-ec AS (SELECT a, b FROM ep JOIN feat fa ON fa.item_id = a JOIN feat fb ON fb.item_id = b
-  WHERE (SELECT count(*) FROM el x JOIN el y ON x.e = y.e WHERE x.item_id = a AND y.item_id = b)
-     >= CASE WHEN fa.category = 'politics' OR fb.category = 'politics' THEN 3 ELSE 2 END),
-gc AS (SELECT a, b FROM gp WHERE (SELECT count(*) FROM gl x JOIN gl y ON x.g = y.g WHERE x.item_id = a AND y.item_id = b) >= 2),
+ep AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM el a JOIN el b USING (cluster_id, e) WHERE a.item_id < b.item_id),
+gp AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM gl a JOIN gl b USING (cluster_id, g) WHERE a.item_id < b.item_id),
+es AS (SELECT ep.a, ep.b, count(*) AS n FROM ep JOIN el x ON x.item_id = ep.a JOIN el y ON y.item_id = ep.b AND y.e = x.e GROUP BY ALL),
+ec AS (SELECT a, b FROM es JOIN feat fa ON fa.item_id = a JOIN feat fb ON fb.item_id = b
+  WHERE n >= CASE WHEN fa.category = 'politics' OR fb.category = 'politics' THEN 3 ELSE 2 END),
+gc AS (SELECT gp.a, gp.b FROM gp JOIN gl x ON x.item_id = gp.a JOIN gl y ON y.item_id = gp.b AND y.g = x.g GROUP BY ALL HAVING count(*) >= 2),
 gated AS (SELECT p.a AS src, p.b AS dst FROM (SELECT * FROM ec UNION SELECT * FROM gc) p JOIN av va ON va.item_id = p.a JOIN av vb ON vb.item_id = p.b
   WHERE list_dot_product(va.vec, vb.vec) >= -0.1)"""
 
@@ -336,7 +335,7 @@ def _story_clusters(spark, sf):
     from dawnpress.plans.story import story_clusters
 
     cores, _ = story_clusters(
-        X.articles(spark, sf), X.now(), target=None, overfetch=None, k=60, min_cohesion=0.3, min_title=0.05, categories=CATEGORY_RULES
+        X.articles(spark, sf), X.now(), k=60, min_cohesion=0.3, min_title=0.05, categories=CATEGORY_RULES
     )
     return cores.select("story_id", "cluster_id", "bucket", "size", R6("cohesion"), R6("rank_score"), F.to_json("entities").alias("entities"))
 

@@ -185,12 +185,12 @@ def _domain_demand_stream(spark, sf):
     "session_states",
     """
 WITH u AS (SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS n, max(event_id) AS last, list(event_id ORDER BY event_id) AS ids, list(value / 10 - 1 ORDER BY event_id) AS dw FROM events GROUP BY 1),
-r AS (SELECT * FROM u ORDER BY last DESC, session_id LIMIT 120)
+r AS (SELECT * FROM u WHERE last >= 5000)
 SELECT session_id, n AS step, last::DOUBLE AS updated_at, array_to_string(list_concat(list_transform(range(0, 30 - least(30, len(ids))), lambda i: 0), ids[-30:]), ' ') AS event_seq,
   array_to_string(ids[-60:], ' ') AS recent_seen, round(list_sum(list_transform(dw[-240:], lambda x: greatest(0.0::DOUBLE, least(10.0::DOUBLE, x)))), 6) AS dwell_sum FROM r""",
 )
 def _session_states(spark, sf):
-    """States as landed JSON with unbounded lists, validated; the 120 most recently updated stay."""
+    """States as landed JSON with unbounded lists, validated; those updated since a time stay."""
     from dawnpress.sources.snapshots import retain_recent
 
     order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("event_id", c.alias("v")))), lambda x: x["v"])
@@ -199,7 +199,7 @@ def _session_states(spark, sf):
         F.count(F.lit(1)).alias("step"), F.max("event_id").cast("double").alias("updated_at"),
     )
     raw = grouped.select("session_id", F.to_json(F.struct("event_seq", "recent_seen", "skip_dwells", "step", "updated_at")).alias("state"))
-    states = retain_recent(files.session_states(raw), 120)
+    states = retain_recent(files.session_states(raw), since=5000.0)
     text = lambda c: F.array_join(C(c).cast("array<string>"), " ").alias(c)
     return states.select(
         "session_id", "step", "updated_at", text("event_seq"), text("recent_seen"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,9 @@ from dawnpress.operators.graph import connected_components, sized_components
 from dawnpress.operators.retrieval import _tiles
 from dawnpress.session import cut_lineage
 
+#: Items of a bucket that are paired in one task.
+BLOCK_ROWS = 1024
+
 # --- document frequencies and vectors --------------------------------------------------------------------------------
 
 
@@ -53,19 +56,17 @@ def random_index_vectors(terms: DataFrame, documents: int, dim: int = 256, sprea
     signed = parts.select("item_id", F.pmod(h, F.lit(dim)).alias("_d"), F.when(h < 0, -F.col("w")).otherwise(F.col("w")).alias("_x"))
     summed = signed.groupBy("item_id", "_d").agg(F.sum("_x").alias("_x"))
     packed = summed.groupBy("item_id").agg(F.collect_list(F.struct("_d", "_x")).alias("_m"))
-    return packed.select("item_id", _dense_unit("_m", F.lit(dim)).alias("vec"))
+    return packed.select("item_id", _dense_unit("_m._d", "_m._x", F.lit(dim)).alias("vec"))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
-def _dense_unit(entries: pd.Series, dim: pd.Series) -> pd.Series:
-    def scatter(pairs, size: int) -> np.ndarray:
-        vector = np.zeros(size)
-        for pair in pairs:
-            vector[pair["_d"]] += pair["_x"]
-        length = np.linalg.norm(vector)
-        return vector / length if length > 1e-12 else vector
-
-    return pd.Series([scatter(pairs, size) for pairs, size in zip(entries, dim)])
+def _dense_unit(places: pd.Series, values: pd.Series, dim: pd.Series) -> pd.Series:
+    rows = np.repeat(np.arange(len(places)), places.map(len).to_numpy())
+    dense = np.zeros((len(places), int(dim.iloc[0]) if len(dim) else 0))
+    if len(rows):
+        dense[rows, np.concatenate(places.to_list()).astype(np.int64)] = np.concatenate(values.to_list())
+    lengths = np.linalg.norm(dense, axis=1, keepdims=True)
+    return pd.Series(list(dense / np.where(lengths > 1e-12, lengths, 1.0)))
 
 
 def embedding_terms(items: DataFrame, entity_weight: float = 2.2, with_summary: bool = False) -> DataFrame:
@@ -115,17 +116,40 @@ def cohesion(members: DataFrame, vectors: DataFrame) -> DataFrame:
 # --- entity graph ----------------------------------------------------------------------------------------------------
 
 
-def shared_entity_pairs(entities: DataFrame, max_df: int = 30, bucket_max: int = 40, min_shared: int = 2) -> DataFrame:
+def rare_terms(rows: DataFrame, total: int | Column, min_idf: float, term: str = "entity") -> DataFrame:
+    """Terms of at least two items whose inverse frequency in ``total`` items reaches ``min_idf``; rarity follows the corpus."""
+    df = rows.select("item_id", term).distinct().groupBy(term).agg(F.count(F.lit(1)).alias("df"))
+    documents = F.lit(total) if isinstance(total, int) else total
+    return df.where((F.col("df") >= 2) & (N.inverse_frequency(documents, F.col("df")) >= min_idf)).select(term)
+
+
+def bucket_pairs(rows: DataFrame, keys: Sequence[str], block: int = BLOCK_ROWS) -> DataFrame:
+    """All pairs ``a < b`` of items in the same bucket, with the bucket's keys.
+
+    A bucket of more than ``block`` items is dealt to blocks, and every two blocks are joined in a task of their own, so no
+    bucket is too large for a task and none is left out.
+    """
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("item_id"), F.col("_blocks")).cast("int")
+    dealt = rows.join(sizes.where("_blocks > 0"), list(keys)).withColumn("_own", own)
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    placed = dealt.select(*keys, "item_id", "_own", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"))
+    left = placed.select(*keys, "_low", "_high", F.col("item_id").alias("a"), F.col("_own").alias("_from"))
+    right = placed.select(*keys, "_low", "_high", F.col("item_id").alias("b"), F.col("_own").alias("_to"))
+    met = left.join(right, [*keys, "_low", "_high"]).where("a < b AND (_low = _high OR _from <> _to)")
+    return met.select(*keys, "a", "b")
+
+
+def shared_entity_pairs(entities: DataFrame, min_idf: float = 4.5, min_shared: int = 2, total: int | None = None) -> DataFrame:
     """Item pairs that share at least ``min_shared`` rare entities.
 
-    Rare is the operator's definition: an entity of more than ``max_df`` items (or of a larger bucket) links nothing.
-    Each surviving bucket therefore holds at most ``min(max_df, bucket_max)`` items.
+    An entity is rare if its inverse frequency among ``total`` items (those with entities, if not given) reaches ``min_idf``:
+    4.5 is some three in a hundred items, in a corpus of any size.
     """
     once = entities.select("item_id", "entity").distinct()
-    rare = once.groupBy("entity").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, min(max_df, bucket_max)))
-    kept = once.join(rare.select("entity"), "entity")
-    other = kept.select("entity", F.col("item_id").alias("b"))
-    pairs = kept.select("entity", F.col("item_id").alias("a")).join(other, "entity").where("a < b")
+    documents = once.select("item_id").distinct().count() if total is None else total
+    kept = once.join(rare_terms(once, documents, min_idf), "entity")
+    pairs = bucket_pairs(kept, ["entity"])
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
 
 
@@ -133,9 +157,9 @@ def headline_entities(items: DataFrame, raw: str = "raw_headline") -> DataFrame:
     return items.select("item_id", F.explode(T.entities_lenient(F.col(raw))).alias("entity"))
 
 
-def entity_graph_clusters(items: DataFrame, min_size: int = 3, **limits: int) -> DataFrame:
+def entity_graph_clusters(items: DataFrame, min_size: int = 3, **limits: float) -> DataFrame:
     """Event clusters: components of the shared-rare-entity graph, as (cluster_id, item_id, size)."""
-    pairs = shared_entity_pairs(headline_entities(items), **limits)
+    pairs = shared_entity_pairs(headline_entities(items), total=items.count(), **limits)
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     linked = edges.select(F.col("src").alias("item_id")).unionByName(edges.select(F.col("dst").alias("item_id")))
     labelled = connected_components(edges, linked if min_size > 1 else items)
@@ -153,40 +177,36 @@ def gated_pairs(
     min_entities: int = 2,
     min_entities_politics: int = 3,
     min_ngrams: int = 2,
-    entity_max_df: int = 40,
-    entity_bucket: int = 35,
-    ngram_bucket: int = 25,
+    entity_idf: float = 4.2,
+    total: int | None = None,
 ) -> DataFrame:
     """Pairs inside a cluster that may stay together: similar vectors and shared rare entities or n-grams.
 
-    ``features`` is (item_id, vec, category, entities, ngrams), ``frequency`` (entity, df). Only buckets within the
-    operator's size limits propose pairs; shared terms are then counted over all rare terms of both items.
+    ``features`` is (item_id, vec, category, entities, ngrams), ``frequency`` (entity, df) among ``total`` items (the number of
+    ``features``, if not given). Every entity whose inverse frequency reaches ``entity_idf`` and every n-gram of ``features``
+    proposes pairs and counts as shared; vectors are fetched only for pairs that share enough.
     """
-    rare = frequency.where(F.col("df") <= entity_max_df).select("entity")
+    total = features.count() if total is None else total
+    rare = frequency.where(N.inverse_frequency(F.lit(total), F.col("df")) >= entity_idf).select("entity")
     located = members.join(features, "item_id")
     ent = located.select("cluster_id", "item_id", F.explode(F.array_distinct("entities")).alias("entity")).join(rare, "entity", "left_semi")
-    rare_sets = ent.groupBy("item_id").agg(F.collect_set("entity").alias("rare"))
     grams = located.select("cluster_id", "item_id", F.explode(F.array_distinct("ngrams")).alias("term"))
 
-    def proposals(rows: DataFrame, limit: int) -> DataFrame:
-        sizes = rows.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(2, limit))
-        kept = rows.join(sizes.select("cluster_id", "term"), ["cluster_id", "term"])
-        other = kept.select("cluster_id", "term", F.col("item_id").alias("b"))
-        return kept.select("cluster_id", "term", F.col("item_id").alias("a")).join(other, ["cluster_id", "term"]).where("a < b")
-
-    by_entity = proposals(ent.withColumnRenamed("entity", "term"), entity_bucket).select("a", "b", F.lit(1).alias("_e"), F.lit(0).alias("_g"))
-    by_gram = proposals(grams, ngram_bucket).select("a", "b", F.lit(0).alias("_e"), F.lit(1).alias("_g"))
-    pairs = by_entity.unionByName(by_gram).groupBy("a", "b").agg(F.max("_e").alias("_e"), F.max("_g").alias("_g"))
-    side = features.join(rare_sets, "item_id", "left").select("item_id", "vec", "category", "rare", "ngrams")
-    empty = F.array().cast("array<string>")
-    left = side.select(*[F.col(c).alias(f"{c}_a") for c in side.columns]).withColumnRenamed("item_id_a", "a")
-    right = side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns]).withColumnRenamed("item_id_b", "b")
-    judged = pairs.join(left, "a").join(right, "b").where(V.dot(F.col("vec_a"), F.col("vec_b")) >= gate)
-    political = (F.col("category_a") == "politics") | (F.col("category_b") == "politics")
+    def shared(rows: DataFrame, name: str) -> DataFrame:
+        return bucket_pairs(rows, ["cluster_id", "term"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
+
+    by_entity = shared(ent.withColumnRenamed("entity", "term"), "_e")
+    pairs = by_entity.join(shared(grams, "_g"), ["a", "b"], "full")
+    kinds = features.select("item_id", "category")
+    pairs = pairs.join(kinds.select(F.col("item_id").alias("a"), F.col("category").alias("_ca")), "a")
+    pairs = pairs.join(kinds.select(F.col("item_id").alias("b"), F.col("category").alias("_cb")), "b")
+    political = (F.col("_ca") == "politics") | (F.col("_cb") == "politics")
     needed = F.when(political, max(min_entities, min_entities_politics)).otherwise(min_entities)
-    entities_ok = (F.col("_e") == 1) & (F.size(F.array_intersect(F.coalesce("rare_a", empty), F.coalesce("rare_b", empty))) >= needed)
-    grams_ok = (F.col("_g") == 1) & (F.size(F.array_intersect("ngrams_a", "ngrams_b")) >= min_ngrams)
-    return judged.where(entities_ok | grams_ok).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    enough = pairs.where((F.coalesce("_e", F.lit(0)) >= needed) | (F.coalesce("_g", F.lit(0)) >= min_ngrams)).select("a", "b")
+    vectors = features.select("item_id", "vec")
+    judged = enough.join(vectors.select(F.col("item_id").alias("a"), F.col("vec").alias("_va")), "a")
+    judged = judged.join(vectors.select(F.col("item_id").alias("b"), F.col("vec").alias("_vb")), "b")
+    return judged.where(V.dot(F.col("_va"), F.col("_vb")) >= gate).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def split_clusters(members: DataFrame, pairs: DataFrame, min_size: int) -> DataFrame:
@@ -409,7 +429,9 @@ def select_by_quota(cores: DataFrame, quotas: Mapping[str, int] = W.STORY_QUOTAS
     for name, count in quotas.items():
         quota = F.when(F.col("bucket") == name, max(0, count)).otherwise(quota)
     by = [F.desc("rank_score"), F.asc(key)]
-    first = top_per_key(cores.withColumn("_quota", quota), ["bucket"], by, F.col("_quota"), "_r").drop("_r", "_quota")
+    # the literal limit lets Spark cut every task's rows before the shuffle
+    best = top_per_key(cores, ["bucket"], by, max([0, *quotas.values()]), "_r")
+    first = best.withColumn("_quota", quota).where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
     first = first.withColumn("picked_by", F.lit("quota"))
     missing = first.agg(F.greatest(F.lit(wanted) - F.count(F.lit(1)), F.lit(0))).scalar()
     rest = cores.join(first.select(key), key, "left_anti").orderBy(*by).limit(wanted)

@@ -74,13 +74,18 @@ def without_wrappers(df: DataFrame) -> DataFrame:
     return df.where(~is_wrapped(F.col("link")))
 
 
-def domain_mix(df: DataFrame, target: int, wrapper_items: int, now: Column) -> DataFrame:
+def domain_mix(
+    df: DataFrame, target: int, wrapper_items: int, now: Column, topic_share: float = 0.12, topic_limit: int | None = None
+) -> DataFrame:
     """Newest rows under a cap per topic, a cap on wrapper rows and a total cap.
 
     A wrapper row refused by its cap does not use up its topic's cap, so topics are ranked twice: once to find the
-    wrapper rows that fit, once over what remains.
+    wrapper rows that fit, once over what remains. A topic may fill ``topic_share`` of the target, and no more than
+    ``topic_limit`` rows if that is given.
     """
-    topic_cap = max(1, min(150, int(target * 0.12)))
+    topic_cap = max(1, int(target * topic_share))
+    if topic_limit is not None:
+        topic_cap = min(topic_cap, topic_limit)
     wrapper_cap = min(wrapper_items, target)
     ts = F.coalesce(F.col("published_utc"), now)
     base = (

@@ -14,8 +14,9 @@ def article_features(
     entries: DataFrame,
     existing: DataFrame | None,
     now: Column,
-    target: int | None = 10_000,
-    wrapper_cap: int | None = 8_500,
+    target: int | None = None,
+    wrapper_cap: int | None = None,
+    mix: bool = False,
     diversity: bool = False,
     strict_sources: bool = False,
     drop_wrappers: bool = False,
@@ -26,7 +27,8 @@ def article_features(
     """Feed entries (pos, headline, summary, link, published_utc) to the feature table.
 
     Emotion reads the whole text unless ``text_limit`` is set. ``existing`` is a reconciled inventory whose rows lose
-    against new ones.
+    against new ones. By default nothing is left out; ``target`` and ``wrapper_cap`` limit the feed entries taken, and ``mix``
+    then picks the newest of the merged rows under caps per source, whatever their number.
     """
     chosen = ingest.candidates(entries, target, wrapper_cap)
     text = F.concat_ws(" ", "headline", "summary")
@@ -44,7 +46,9 @@ def article_features(
         unique = ingest.without_wrappers(unique)
     # Everything below reads the selected rows several times: write them once.
     selected = cut_lineage(unique)
-    if target is not None and selected.count() > target:
+    if mix:
+        if target is None:
+            raise ValueError("a mix needs a target")
         mixed = ingest.domain_mix(selected, target, target if wrapper_cap is None else wrapper_cap, now)
         selected = mixed.withColumn("pos", F.col("mix_pos")).drop("mix_pos")
     numbered = features.row_ids(selected, "pos", "item_id").drop("pos").withColumn("pos", F.col("item_id"))

@@ -37,8 +37,8 @@ def story_features(items: DataFrame, ngram_idf: float = 5.2, categories=None) ->
 def story_clusters(
     articles: DataFrame,
     now: Column,
-    target: int | None = 900,
-    overfetch: int | None = 9000,
+    target: int | None = None,
+    overfetch: int | None = None,
     k: int = 280,
     dim: int = 256,
     min_size: int = 3,
@@ -49,7 +49,10 @@ def story_clusters(
     quotas: Mapping[str, int] = W.STORY_QUOTAS,
     categories=None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(all cores, selected cores). ``target``/``overfetch`` pick the recent portion; None takes every article."""
+    """(all cores, selected cores) of every article.
+
+    ``target`` (after title deduplication) and ``overfetch`` (before it) are an explicit request for the newest articles only.
+    """
     items = ingest.clean_items(articles)
     if overfetch is not None:
         items = ingest.recent_portion(items, overfetch)
@@ -59,7 +62,7 @@ def story_clusters(
     items = cut_lineage(items)
     count = items.count()
     vectors = cut_lineage(C.random_index_vectors(C.embedding_terms(items), count, dim))
-    assigned = cut_lineage(C.spherical_kmeans(vectors, min(k, max(2, count // 3))))
+    assigned = cut_lineage(C.spherical_kmeans(vectors, max(2, min(k, count))))
     features = cut_lineage(story_features(items, categories=categories))
     entities = features.select("item_id", F.explode("entities").alias("entity"))
     frequency = C.document_frequency(entities, "entity")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 
@@ -36,10 +37,10 @@ def known_links_only(pools: DataFrame, inventory: DataFrame) -> DataFrame:
     return pools.join(inventory.select("link"), "link", "left_semi")
 
 
-def retain_recent(states: DataFrame, keep: int = 3000) -> DataFrame:
-    """The ``keep`` most recently updated sessions."""
-    from pyspark.sql import functions as F
-
-    return states.orderBy(F.desc("updated_at"), "session_id").limit(keep)
+def retain_recent(states: DataFrame, since: float | None = None, keep: int | None = None) -> DataFrame:
+    """Sessions updated at ``since`` or later; ``keep`` further asks for no more than so many, the latest ones."""
+    if since is not None:
+        states = states.where(F.col("updated_at") >= since)
+    return states if keep is None else states.orderBy(F.desc("updated_at"), "session_id").limit(keep)
 
 

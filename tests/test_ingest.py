@@ -60,7 +60,7 @@ def test_candidates(spark, seed):
 def test_domain_mix(spark, seed):
     data = feed(random.Random(seed), 200)
     target, wrapper_items = 40, 9
-    cap, wrapper_cap = max(1, min(150, int(target * 0.12))), min(wrapper_items, target)
+    cap, wrapper_cap = max(1, int(target * 0.12)), min(wrapper_items, target)
     counts, wrappers, picked = {}, 0, []
     for row in sorted(data, key=lambda r: (-r[4].timestamp(), r[0])):
         topic = topic_of(row)
