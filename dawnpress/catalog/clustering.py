@@ -217,7 +217,17 @@ def halves(spark, sf):
     return X.articles(spark, sf).select(F.floor(C("topic_id") / 10).alias("cluster_id"), "item_id")
 
 
-@query("split_clusters")
+SPLIT = """
+sym3 AS (SELECT src AS x, dst AS y FROM gated UNION SELECT dst, src FROM gated),
+reach3 AS (SELECT x AS node, x AS root FROM sym3 UNION SELECT s.y, r.root FROM reach3 r JOIN sym3 s ON s.x = r.node)"""
+
+
+@query(
+    "split_clusters",
+    with_tables(" SELECT min(root) AS cluster_id, node AS item_id FROM reach3 GROUP BY node", ARTICLES, MEMBERS, GATED, SPLIT).replace(
+        "WITH ", "WITH RECURSIVE ", 1
+    ),
+)
 def _split_clusters(spark, sf):
     return K.split_clusters(halves(spark, sf), gated(spark, sf), 2)
 
