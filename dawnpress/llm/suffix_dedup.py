@@ -7,7 +7,7 @@ earlier one of its run, the next smaller one never is, and the factor reaches ``
 member. So each task needs only whole runs, and runs are found without sorting all suffixes of the corpus:
 
 1. *Stretches.* Every window of ``LENGTH`` bytes is owned by the smallest-hashed gram of ``GRAM`` bytes in it. Consecutive
-   windows with the same owner form a stretch of about thirty windows; equal windows have equal owners at equal places.
+   windows with the same owner form a stretch of about forty windows; equal windows have equal owners at equal places.
    Only one row per stretch is shuffled: hash of the owner, hash of the stretch, place.
 2. *Equal stretches.* Suffix order of whole stretches: all but the first of a run have their windows found. Owners that occur with
    one stretch only need no more work; that is nearly all of a corpus.
@@ -15,9 +15,9 @@ member. So each task needs only whole runs, and runs are found without sorting a
    fetched from its text and its suffixes are ordered one by one.
 4. The windows found are merged into spans and cut from the texts.
 
-Hot strings: map tasks send one row per stretch and batch, and at most two stretches of one owner; an owner with more is
+Hot strings: map tasks send one row per stretch and batch, and at most ``SENT`` stretches of one owner; an owner with more is
 marked, and its windows travel one by one under their own hash, again one per batch. So a string in a third of all
-documents costs a row per batch, not per document. Suffixes are compared by 64-bit polynomial hashes under the hash of
+documents costs some rows per batch, not per document. Suffixes are compared by 64-bit polynomial hashes under the hash of
 their owner, together 128 bits.
 
 Nulls and edges: null and empty texts have nothing to remove; a null ``doc_id`` counts as the smallest; strings at the same place of rows that repeat
@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from dawnpress.llm.common import as_batch, map_batches, partitions_for, stored, to_arrow
 
 LENGTH = 100
-GRAM = 40
+GRAM = 28
+#: Different stretches of one owner that a batch sends on; an owner with more is marked. Two would do, more save windows.
+SENT = 16
 SEGMENT = 1 << 18
 BUFFER = 1 << 20
 #: Bits of a place that tell texts with the same id apart.
@@ -179,14 +181,15 @@ def join_windows(doc: np.ndarray, place: np.ndarray, n: np.ndarray):
     return doc[at], place[at], end[np.r_[at[1:] - 1, len(n) - 1]] - start[at]
 
 
-STRETCH, FOUND, FETCH = 0, 1, 2  # kinds of rows
+STRETCH, MANY, FOUND, FETCH = range(4)  # kinds of rows: MANY is a stretch of an owner that has many
 
 
 def find_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows ``owner, whole, _doc, place, n, kind``: stretches to compare, windows found, stretches to fetch.
+    """Rows ``owner, whole, _doc, place, n`` with the kind in the lowest bits of ``n``: stretches to compare, windows found,
+    stretches to fetch.
 
-    A batch compares its own stretches first: repeats are found at once, and of an owner with more than two different
-    stretches two are sent on with a mark (a negative ``n``) and the others are to be fetched.
+    A batch compares its own stretches first: repeats are found at once, and of an owner with more than ``SENT`` different
+    stretches so many are sent on as ``MANY`` and the others are to be fetched.
     """
 
     def run(batch):
@@ -200,11 +203,10 @@ def find_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
         kinds = np.cumsum(lead)
         nth = kinds - kinds[group]
         many = np.zeros(len(owner), bool)
-        np.logical_or.at(many, group[nth >= 2], True)
+        many[group[nth >= SENT]] = True
         many = many[group]
-        fetch = ~later & (nth >= 2)
-        kind = np.where(later, FOUND, np.where(fetch, FETCH, STRETCH))
-        n = np.where(many & (kind == STRETCH), -n, n)
+        fetch = ~later & (nth >= SENT)
+        kind = np.where(later, FOUND, np.where(fetch, FETCH, np.where(many, MANY, STRETCH)))
         same = ~lead & ~later & (doc == np.r_[doc[:1], doc[:-1]]) & (place == np.r_[place[:1], place[:-1]])  # repeated rows
         send = ~later & ~same
         f_doc, f_place, f_n = join_windows(doc[later], place[later], n[later])
@@ -215,11 +217,10 @@ def find_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
             "whole": np.r_[whole[send], np.zeros(len(f_doc), np.int64)],
             "_doc": np.r_[doc[send], f_doc],
             "place": np.r_[place[send], f_place],
-            "n": np.r_[n[send], f_n],
-            "kind": np.r_[kind[send], np.full(len(f_doc), FOUND)].astype(np.int8),
+            "n": np.r_[n[send] << 2 | kind[send], f_n << 2 | FOUND],
         }
 
-    return map_batches(docs, run, "owner long, whole long, _doc long, place long, n int, kind byte")
+    return map_batches(docs.select("_doc", "_tag", "text"), run, "owner long, whole long, _doc long, place long, n long")
 
 
 def compare_stretches(rows: DataFrame, partitions: int) -> DataFrame:
@@ -227,18 +228,19 @@ def compare_stretches(rows: DataFrame, partitions: int) -> DataFrame:
     rows = rows.repartition(partitions, "owner")
     in_run = Window.partitionBy("owner", "whole").orderBy("_doc", "place")
     of_owner = Window.partitionBy("owner")
-    plain = F.col("kind") == STRETCH
+    kind = F.col("n").bitwiseAND(3)
+    plain = kind <= MANY
     start = F.struct("_doc", F.shiftright("place", TAG).alias("s"))
     judged = (
         rows.withColumn("first", F.first(start).over(in_run))
         .withColumn("low", F.min(F.when(plain, F.col("whole"))).over(of_owner))
         .withColumn("high", F.max(F.when(plain, F.col("whole"))).over(of_owner))
-        .withColumn("many", F.min("n").over(of_owner) < 0)
+        .withColumn("many", F.max(kind == MANY).over(of_owner))
     )
-    later = (F.col("kind") == FOUND) | (plain & (start > F.col("first")))
-    fetch = (F.col("kind") == FETCH) | (plain & ~later & (F.col("low") < F.col("high")))
-    alone = F.when((F.col("kind") == FETCH) | F.col("many"), F.lit(None)).otherwise(F.col("owner"))
-    size = F.abs("n")
+    later = (kind == FOUND) | (plain & (start > F.col("first")))
+    fetch = (kind == FETCH) | (plain & ~later & (F.col("low") < F.col("high")))
+    alone = F.when((kind == FETCH) | F.col("many"), F.lit(None)).otherwise(F.col("owner"))
+    size = F.shiftright("n", 2).cast("int")
     return (
         judged.where(later | fetch)
         .select(
@@ -363,24 +365,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     if not 0 < gram < length:
         raise ValueError("grams must be shorter than the strings sought")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.cast("binary").alias("text"))
-    rows = rows.withColumns(
-        {
-            "_doc": F.coalesce("doc_id", F.lit(NULL_ID)),
-            "_tag": F.xxhash64("text").bitwiseAND((1 << TAG) - 1),
-        }
+    doc_id = F.col("doc_id").cast("long")
+    tag = F.xxhash64(text.cast("binary")).bitwiseAND((1 << TAG) - 1)
+    rows = docs.select(
+        doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("_doc"), tag.alias("_tag"), text.cast("binary").alias("text")
     )
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    by_place = rows.select("_doc", "_tag", "text")
-    compared = compare_stretches(find_stretches(by_place, length, gram), partitions_for(docs, size // 30, TASK_ROWS))
+    compared = compare_stretches(find_stretches(rows, length, gram), partitions_for(docs, size // 30, TASK_ROWS))
     marks = stored(compared)
     wanted = marks.where(F.size("fetch") > 0)
     bulk = F.aggregate("fetch", F.lit(0).cast("long"), lambda a, x: a + (F.when(x["owner"].isNull(), x["n"] * length).otherwise(x["n"] + length)))
     amount = wanted.agg(F.sum(bulk)).first()[0] or 0
-    fetched = fetch_stretches(by_place.join(wanted.select("_doc", "_tag", "fetch"), ["_doc", "_tag"]), length)
+    # the join here and the one in cut() read the same columns of the texts, so Spark shuffles them once for both
+    fetched = fetch_stretches(rows.join(wanted.select("_doc", "_tag", "fetch"), ["_doc", "_tag"]), length)
     more = order_suffixes(fetched, length, partitions_for(docs, amount, TASK_BYTES))
-    entry = F.struct("place", "n")
-    tag = F.col("place").bitwiseAND((1 << TAG) - 1).alias("_tag")
+    entry, tag = F.struct("place", "n"), F.col("place").bitwiseAND((1 << TAG) - 1).alias("_tag")
     found = (
         more.select("_doc", tag, F.array(entry).alias("found"))
         .unionByName(marks.where(F.size("found") > 0).select("_doc", "_tag", "found"))
