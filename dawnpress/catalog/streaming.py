@@ -59,7 +59,7 @@ def _idempotent_events_stream(spark, sf):
 
 
 def live_events(spark, sf):
-    """Interaction stream joined with the static item features."""
+    """Interaction stream joined with the static item features and the sessions' own vectors."""
     n = X.table(spark, sf, "documents").count()
     items = X.articles(spark, sf).select("item_id", "topic_id", "vibe_id")
     vectors = X.item_vectors(spark, sf).select(C("item_id").alias("vec_id"), C("vec").cast("array<double>").alias("vec"))
@@ -72,9 +72,11 @@ def live_events(spark, sf):
         F.least(F.lit(10.0), C("value") / 10).alias("dwell"),
         F.when(C("event_type") == "purchase", "auto").when(C("event_type") == "signup", "other").otherwise("skip").alias("reason"),
     )
-    joined = events.join(items, "item_id").withColumn("vec_id", C("item_id") % m).join(vectors, "vec_id")
+    joined = events.join(items, "item_id").withColumn("vec_id", C("item_id") % m).join(vectors, "vec_id").drop("vec_id")
+    own = vectors.withColumnRenamed("vec", "base")
+    joined = joined.withColumn("vec_id", C("session_id").cast("bigint") % m).join(own, "vec_id", "left")
     return joined.withColumn("token_head", S.token_head(C("item_id"), C("topic_id"), C("vibe_id"), C("dwell"))).select(
-        "session_id", "event_id", "ts", "item_id", "dwell", "reason", "vec", "token_head"
+        "session_id", "event_id", "ts", "item_id", "dwell", "reason", "vec", "base", "token_head"
     )
 
 

@@ -19,6 +19,7 @@ from dawnpress.functions import numeric as N
 from dawnpress.functions import wordlists as W
 from dawnpress.operators.frames import first_per_key, running_max, sequence_number
 from dawnpress.operators.windows import SEEN, SEQUENCE, SKIP_HISTORY, adaptive_rewards, sentence_memory
+from dawnpress.session import cut_lineage
 
 HEADS = ["finish", "like", "share", "rewatch", "fast_skip", "watch_time"]
 # Loss weights of the private update.
@@ -40,11 +41,22 @@ def dedupe_stream(events: DataFrame, ttl: str = "14 days", ts: str = "ts") -> Da
     return unique.unionByName(timed.where(~usable))
 
 
-def dedupe_batch(events: DataFrame, ts: str = "ts") -> DataFrame:
-    """Batch twin for a log no longer than the time to live."""
+def dedupe_batch(events: DataFrame, ttl_days: int = 14, ts: str = "ts") -> DataFrame:
+    """Batch twin: an event counts again once ``ttl_days`` have passed since the last one that counted.
+
+    Every round accepts the first event of each key and drops what follows within the time to live, so there are as many rounds as
+    the log has times to live; a key with many repeats is cut to one row per task before each shuffle.
+    """
+    keys = ["uid", "session_id", "event_id"]
     usable = has_usable_id(F.col("event_id"))
-    first = first_per_key(events.where(usable), ["uid", "session_id", "event_id"], [ts])
-    return first.unionByName(events.where(~usable))
+    accepted, rest = events.where(~usable), cut_lineage(events.where(usable))
+    while not rest.isEmpty():
+        first = cut_lineage(first_per_key(rest, keys, [ts]))
+        accepted = accepted.unionByName(first)
+        until = F.expr(f"make_dt_interval({ttl_days}, 0, 0, 0)")
+        ends = first.select(*keys, (F.col(ts) + until).alias("_until"))
+        rest = cut_lineage(rest.join(ends, keys).where(F.col(ts) >= F.col("_until")).drop("_until"))
+    return accepted
 
 
 # --- interactions ----------------------------------------------------------------------------------------------------
@@ -92,7 +104,9 @@ def preference_step(delta: np.ndarray, base: np.ndarray, item: np.ndarray, ratio
 def interaction_stream(
     events: DataFrame, heads: list[tuple[float, float]] | None = None, expire_minutes: int | None = None
 ) -> DataFrame:
-    """Session machine over (session_id, event_id, ts, item_id, token columns, reason, dwell, vec).
+    """Session machine over (session_id, event_id, ts, item_id, token columns, reason, dwell, vec, optional base).
+
+    ``base`` is the session's own vector, to which the private preference is added; without it the step starts from zero.
 
     ``token`` is the vocabulary number of an event at a given step, so it is computed from columns before the state and
     only its step part is added inside: the stream carries ``token_head``, the text before the step bucket.
@@ -100,6 +114,7 @@ def interaction_stream(
     import hashlib
 
     weights = np.array(heads or [(1.0, 0.0)] * len(HEADS))
+    has_base = "base" in events.columns
 
     def machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -121,7 +136,9 @@ def interaction_stream(
             vec = np.asarray(r.vec, float) if r.vec is not None else np.zeros(0)
             if len(vec):
                 delta = delta if len(delta) == len(vec) else np.zeros(len(vec))
-                delta = preference_step(delta, np.zeros(len(vec)), vec, dwell / 10.0, reward, weights)
+                known = has_base and r.base is not None and len(r.base) == len(vec)
+                base = np.asarray(r.base, float) if known else np.zeros(len(vec))
+                delta = preference_step(delta, base, vec, dwell / 10.0, reward, weights)
             before = list(seen)
             step += 1
             seen = [*seen, int(r.item_id)][-SEEN:]
@@ -161,13 +178,16 @@ AUDIO_OUTPUT = (
 )
 
 
-def audio_stream(messages: DataFrame) -> DataFrame:
+def audio_stream(messages: DataFrame, expire_minutes: int | None = None) -> DataFrame:
     """Deliveries and feedback of a session in order of ``at``: feedback counts once and only for the pending content.
 
     ``messages`` is (session_id, at, kind, content_id, item_id, sentences, skip_index, reason, dwell).
     """
 
     def machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         current = list(state.get) if state.exists else [None, None, [], False, [], [], []]
         out = []
         for r in pd.concat(list(batches)).sort_values("at").itertuples(index=False):
@@ -199,14 +219,15 @@ def audio_stream(messages: DataFrame) -> DataFrame:
                  list(current[4]) if fine else None, list(current[5]) if fine else None)
             )
         state.update(tuple(current))
+        if expire_minutes is not None:
+            state.setTimeoutDuration(expire_minutes * 60_000)
         columns = ["session_id", "at", "content_id", "status", "item_id", "reason", "reward", "liked", "avoided"]
         frame = pd.DataFrame(out, columns=columns)
         frame["item_id"] = frame["item_id"].astype("Int64")
         yield frame
 
-    return messages.groupBy("session_id").applyInPandasWithState(
-        machine, AUDIO_OUTPUT, AUDIO_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if expire_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
+    return messages.groupBy("session_id").applyInPandasWithState(machine, AUDIO_OUTPUT, AUDIO_STATE, "append", timeout)
 
 
 def audio_batch(messages: DataFrame) -> DataFrame:
@@ -247,19 +268,23 @@ READER_STATE = "seen array<bigint>, pos_anchor string, neg_anchor string"
 READER_OUTPUT = "session_id string, position bigint, seen int, pos_anchor string, neg_anchor string"
 
 
-def reader_stream(events: DataFrame, memory: int = 2000) -> DataFrame:
+def reader_stream(events: DataFrame, memory: int | None = None, expire_minutes: int | None = None) -> DataFrame:
     """Reader sessions: articles seen and the last liked and avoided texts after each event.
 
-    ``events`` is (session_id, position, article_id, action, sentence_index, sentences).
+    ``events`` is (session_id, position, article_id, action, sentence_index, sentences). ``memory`` is an explicit request
+    to remember no more than so many articles; ``expire_minutes`` ends the state of sessions without events.
     """
 
     def machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, liked, avoided = state.get if state.exists else ([], "", "")
         seen = list(seen)
         out = []
         for r in pd.concat(list(batches)).sort_values("position").itertuples(index=False):
             if r.article_id not in seen:
-                seen = [*seen, int(r.article_id)][-memory:]
+                seen = [*seen, int(r.article_id)][-memory if memory else 0 :]
             if r.action == "skip_article":
                 at = min(3, max(0, 0 if pd.isna(r.sentence_index) else int(r.sentence_index)))
                 liked = " ".join(r.sentences[:at]).strip() or liked
@@ -268,8 +293,9 @@ def reader_stream(events: DataFrame, memory: int = 2000) -> DataFrame:
                 liked = " ".join(r.sentences).strip() or liked
             out.append((key[0], r.position, len(seen), liked, avoided))
         state.update((seen, liked, avoided))
+        if expire_minutes is not None:
+            state.setTimeoutDuration(expire_minutes * 60_000)
         yield pd.DataFrame(out, columns=["session_id", "position", "seen", "pos_anchor", "neg_anchor"])
 
-    return events.groupBy("session_id").applyInPandasWithState(
-        machine, READER_OUTPUT, READER_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if expire_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("session_id").applyInPandasWithState(machine, READER_OUTPUT, READER_STATE, "append", timeout)

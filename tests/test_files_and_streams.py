@@ -130,3 +130,13 @@ def test_scan_is_pruned(spark, sf):
     queries, _ = load()
     plan = queries["cohort_summary"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan
+
+
+def test_an_event_counts_again_after_its_time_to_live(spark):
+    days = [0, 1, 13, 14, 15, 27, 28, 60]
+    rows = [("u", "s", "e", d) for d in days] + [("u", "s", "", d) for d in (0, 0)] + [("u", "s", "f", d) for d in (0, 15)]
+    events = spark.createDataFrame(rows, "uid string, session_id string, event_id string, day int")
+    events = events.withColumn("ts", F.expr("timestamp'2024-01-01' + make_dt_interval(day, 0, 0, 0)"))
+    got = S.dedupe_batch(events).collect()
+    assert sorted(r.day for r in got if r.event_id == "e") == [0, 14, 28, 60]
+    assert sorted(r.day for r in got if r.event_id == "f") == [0, 15] and sum(r.event_id == "" for r in got) == 2
