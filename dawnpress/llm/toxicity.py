@@ -13,6 +13,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -50,7 +51,7 @@ CAPITALS = bytes(range(65, 91))
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 MIXED = re.compile(rb"[a-z]+[0-9@$!*]+[a-z][a-z0-9@$!*]*")
 FEATURES = (
-    "lexicon_density lexicon_hits lexicon_kinds insult_density insult_hits nearness person_density capitals "
+    "lexicon_density lexicon_hits lexicon_kinds lexicon_strongest lexicon_mean insult_density insult_hits nearness person_density capitals "
     "punctuation exclamations drawn_out disguised disguised_hits length"
 ).split()
 
@@ -68,12 +69,26 @@ def terms_of(words: list[bytes]) -> set[bytes]:
     return kinds | {w[:k] + b"*" for w in kinds for k in BEGINNINGS if len(w) > k}
 
 
-def features(text: str | None, lexicon: frozenset[bytes], starts: tuple[frozenset[bytes], ...]) -> list[float]:
+class Lexicon:
+    """Learned terms with their strength; terms that end in a star are beginnings of words."""
+
+    def __init__(self, terms: dict[bytes, float]):
+        self.words = {t: s for t, s in terms.items() if not t.endswith(b"*")}
+        self.starts = [{t[:-1]: s for t, s in terms.items() if t.endswith(b"*") and len(t) == k + 1} for k in BEGINNINGS]
+
+    def hits(self, words: list[bytes]) -> tuple[list[int], list[float]]:
+        """Places of words that are terms or begin with one, and the strength of the strongest."""
+        known, (s4, s5, s6) = self.words, self.starts
+        at = [i for i, w in enumerate(words) if w in known or w[:4] in s4 or w[:5] in s5 or w[:6] in s6]
+        strength = [max(known.get(w, 0.0), s4.get(w[:4], 0.0), s5.get(w[:5], 0.0), s6.get(w[:6], 0.0)) for w in (words[i] for i in at)]
+        return at, strength
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
     if not text:
         return [0.0] * len(FEATURES)
     words, raw = words_of(text), text.encode("utf-8", "replace")
-    s4, s5, s6 = starts
-    at = [i for i, w in enumerate(words) if w in lexicon or w[:4] in s4 or w[:5] in s5 or w[:6] in s6]
+    at, strength = lexicon.hits(words)
     rude = [i for i, w in enumerate(words) if w in INSULT_SET]
     persons = [i for i, w in enumerate(words) if w in PERSON_SET]
     hits, nearness = sorted({*at, *rude}), 0.0
@@ -91,6 +106,8 @@ def features(text: str | None, lexicon: frozenset[bytes], starts: tuple[frozense
         len(at) / n,
         float(np.log1p(len(at))),
         float(len({words[i][:4] for i in at})),
+        max(strength, default=0.0),
+        sum(strength) / max(1, len(strength)),
         len(rude) / n,
         float(np.log1p(len(rude))),
         nearness,
@@ -100,13 +117,16 @@ def features(text: str | None, lexicon: frozenset[bytes], starts: tuple[frozense
         (raw.count(b"!") + raw.count(b"?")) / size,
         drawn / size,
         len(mixed) / n,
-        float(sum(p in lexicon or p in INSULT_SET for p in plain)),
+        float(sum(p in lexicon.words or p in INSULT_SET for p in plain)),
         float(np.log1p(len(words))),
     ]
 
 
-def learn_terms(labelled: DataFrame) -> list[bytes]:
-    """Terms of toxic documents; a batch counts its own documents first, at most ``TERMS`` terms come back."""
+def learn_terms(labelled: DataFrame) -> dict[bytes, float]:
+    """Terms of toxic documents and their strength, the logarithm of their log-likelihood ratio.
+
+    A batch counts its own documents first, at most ``TERMS`` terms come back.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         counts = (Counter(), Counter())
@@ -120,14 +140,14 @@ def learn_terms(labelled: DataFrame) -> list[bytes]:
     totals = stored(counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3"))
     everything = totals.where(F.length("term") == 0).first()
     if everything is None:
-        return []
+        return {}
     toxic, clean = everything["toxic"], everything["clean"]
     lift = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
     share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
     ratio = 2 * (_surprise(F.col("toxic"), share * toxic) + _surprise(F.col("clean"), share * clean))
     frequent = (F.length("term") > 0) & (F.col("toxic") >= LEAST_SHARE * toxic)
-    good = totals.where(frequent).withColumn("lift", lift).where((F.col("lift") >= LIFT) & (ratio >= RATIO))
-    return [bytes(r["term"]) for r in good.orderBy(F.col("lift").desc(), "term").limit(TERMS).collect()]
+    good = totals.where(frequent & (lift >= LIFT)).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO)
+    return {bytes(r["term"]): math.log1p(r["ratio"]) for r in good.orderBy(F.col("ratio").desc(), "term").limit(TERMS).collect()}
 
 
 def _surprise(seen, expected):
@@ -137,18 +157,16 @@ def _surprise(seen, expected):
 class Scorer:
     """Everything a score needs: the learned terms, the trees and the calibration; without trees all scores are 0."""
 
-    def __init__(self, terms: list[bytes], trees=None, calibration=None):
+    def __init__(self, terms: dict[bytes, float], trees=None, calibration=None):
         self.terms, self.trees, self.calibration = terms, trees, calibration
 
     def featured(self, docs: DataFrame, *keep: str) -> DataFrame:
         """``keep`` columns and ``features`` for every row."""
-        lexicon = frozenset(t for t in self.terms if not t.endswith(b"*"))
-        starts = tuple(frozenset(t[:-1] for t in self.terms if t.endswith(b"*") and len(t) == k + 1) for k in BEGINNINGS)
-        kinds = dict(docs.dtypes)
+        lexicon, kinds = Lexicon(self.terms), dict(docs.dtypes)
         columns = list(keep)
 
         def run(batch):
-            rows = [features(t, lexicon, starts) for t in batch.column("text").to_pylist()]
+            rows = [features(t, lexicon) for t in batch.column("text").to_pylist()]
             return {c: batch.column(c) for c in columns} | {"values": rows}
 
         schema = "".join(f"`{c}` {kinds[c]}, " for c in columns) + "values array<double>"
@@ -179,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", part))  # SAMPLE ids at most
     counts = {(r["third"], r["toxic"]): r["count"] for r in sample.groupBy(_third().alias("third"), "toxic").count().collect()}
     if any(not counts.get((t, c)) for t in range(3) for c in range(2)):
-        return Scorer([])
+        return Scorer({})
     scorer = Scorer(learn_terms(sample.where(_third() == 0)))
     ready = stored(scorer.featured(sample.where(_third() > 0), "doc_id", "part", "toxic"))
     positive = counts[1, 1] / (counts[1, 0] + counts[1, 1])

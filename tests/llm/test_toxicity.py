@@ -48,6 +48,11 @@ def test_edges(spark):
 
 
 def test_features():
-    plain = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT!! such a l0ser", frozenset([b"loser"]), (frozenset(),) * 3), strict=True))
+    plain = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT!! such a l0ser", toxicity.Lexicon({b"loser": 1.0})), strict=True))
     assert plain["insult_hits"] > 0 and plain["nearness"] == 0.5 and plain["disguised"] > 0 and plain["disguised_hits"] == 1
-    assert toxicity.features(None, frozenset(), (frozenset(),) * 3) == [0.0] * len(toxicity.FEATURES)
+    assert toxicity.features(None, toxicity.Lexicon({})) == [0.0] * len(toxicity.FEATURES)
+
+
+def test_lexicon():
+    lexicon = toxicity.Lexicon({b"loser": 2.0, b"zork*": 3.0})
+    assert lexicon.hits([b"a", b"loser", b"zorking", b"zor"]) == ([1, 2], [2.0, 3.0])
