@@ -53,6 +53,14 @@ def rounded(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return codes, scale, np.linalg.norm(near, axis=1), np.linalg.norm(vectors - near, axis=1)
 
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed in the order of the components."""
+    total = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        total += x[:, k] * y[:, k]
+    return total
+
+
 def tile(ids: np.ndarray, queries: np.ndarray, others: np.ndarray, candidates: np.ndarray, k: int):
     """Per query the ``k`` best candidates of the tile: query and candidate positions and exact products."""
     q, q_scale, q_norm, q_lost = rounded(queries)
@@ -71,7 +79,7 @@ def tile(ids: np.ndarray, queries: np.ndarray, others: np.ndarray, candidates: n
         row, column = np.nonzero((product + slack >= best[:, None]) & np.isfinite(product))
         for p in range(0, len(row), 1 << 16):  # computed again in double precision
             r, j = row[p : p + (1 << 16)], column[p : p + (1 << 16)]
-            out.append((a + r, j, np.einsum("ij,ij->i", queries[a + r], candidates[j])))
+            out.append((a + r, j, products(queries[a + r], candidates[j])))
     if not out:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     row, column, score = (np.concatenate(x) for x in zip(*out, strict=True))

@@ -15,6 +15,7 @@ from dawnpress.llm import (
     packing,
     pii,
     simhash,
+    sql,
     suffix_dedup,
     token_attribution,
     toxicity,
@@ -27,6 +28,8 @@ ORACLES: dict[str, str] = {}
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
+    if fn.__name__ in sql.ORACLES:
+        ORACLES[fn.__name__] = sql.ORACLES[fn.__name__]
     return fn
 
 
