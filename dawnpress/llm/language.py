@@ -26,6 +26,7 @@ DIMENSIONS = 4096
 SAMPLE = 1000
 #: Languages that can be learned: the most frequent ones. Keeps sample and centroids bounded.
 LANGUAGES = 200
+DRAWS = 1 << 40
 CENTROIDS = 3
 ROUNDS = 12
 #: Share of a language's sample that lies beyond its rejection distance.
@@ -114,10 +115,12 @@ def train(docs: DataFrame) -> Model:
     known = docs.where("lang IS NOT NULL").select("doc_id", "text", "lang")
     seen, n = document_frequencies(known)
     idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
-    ids = known.select("doc_id", "lang", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))).alias("draw"))
-    frequent = ids.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).select("lang")
+    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(DRAWS)).alias("draw"))
+    frequent = ids.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES)
     by_draw = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    drawn = ids.join(frequent, "lang", "left_semi").withColumn("nth", F.row_number().over(by_draw)).where(F.col("nth") <= SAMPLE)
+    # draws below four times the sample's share: no task ranks more than some thousand rows of a language of any size
+    low = ids.join(F.broadcast(frequent), "lang").where(F.col("draw") < F.lit(4.0 * SAMPLE * DRAWS) / F.col("count"))
+    drawn = low.withColumn("nth", F.row_number().over(by_draw)).where(F.col("nth") <= SAMPLE)
     sample = known.join(F.broadcast(drawn.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")  # at most LANGUAGES * SAMPLE rows
 
     def fit(key, frame):
