@@ -360,11 +360,13 @@ lab AS (SELECT item_id, CASE WHEN bare = '' THEN 'General' ELSE array_to_string(
    THEN w ELSE replace(upper(substr(w, 1, 1)), 'ẞ', 'SS') || lower(substr(w, 2)) END), ' ') END AS label FROM lab0)"""
 
 
+SQL_ALL_LABELS = SQL_LABELS.replace(" WHERE topic_id <> 3", "")
+
+
 def label_cache(spark, sf):
-    """Labels of all articles except those of one source, which stay to be labelled."""
+    """Labels of all articles."""
     return (
         X.articles(spark, sf)
-        .where("topic_id <> 3")
         .select(L.item_key(C("link"), C("headline")).alias("key"), F.regexp_extract("headline", "^(?:[^ ]+ ){0,1}[^ ]+", 0).alias("event"))
     )
 
@@ -376,7 +378,10 @@ def label_cache(spark, sf):
     ),
 )
 def _cached_labels(spark, sf):
-    known, needed = L.cached_labels(X.articles(spark, sf), label_cache(spark, sf))
+    """The cache lacks the articles of one source, which stay to be labelled."""
+    rows = X.articles(spark, sf)
+    kept = rows.where("topic_id <> 3").select(L.item_key(C("link"), C("headline")).alias("key"))
+    known, needed = L.cached_labels(rows, label_cache(spark, sf).join(kept, "key", "left_semi"))
     return known.select("item_id", "label").unionByName(needed.select("item_id", F.lit(None).cast("string").alias("label")))
 
 
@@ -386,7 +391,7 @@ def _cached_labels(spark, sf):
         """ SELECT min(item_id) OVER w AS cluster_id, item_id, label AS event_label, count(*) OVER w AS size FROM lab WHERE label <> 'General'
 WINDOW w AS (PARTITION BY label) QUALIFY count(*) OVER w >= 3""",
         ARTICLES,
-        SQL_LABELS,
+        SQL_ALL_LABELS,
     ),
 )
 def _label_clusters(spark, sf):

@@ -264,7 +264,7 @@ def _fingerprint(spark, sf):
     "jaccard_neighbours",
     with_tables(
         """,
-f AS (SELECT item_id, list_distinct(list_filter(string_split(lower(headline), ' '), lambda w: w <> '')) AS f FROM articles),
+f AS (SELECT item_id, list_distinct(list_filter(string_split(lower(headline || ' ' || summary), ' '), lambda w: w <> '')) AS f FROM articles),
 p AS (SELECT a.item_id, a.f AS fa, b.f AS fb FROM f a JOIN f b ON b.item_id = a.item_id + 1)
 SELECT item_id, round(CASE WHEN len(fa) = 0 OR len(fb) = 0 THEN 0.0::DOUBLE
   ELSE len(list_intersect(fa, fb))::DOUBLE / len(list_distinct(list_concat(fa, fb))) END, 6) AS jaccard FROM p""",
@@ -272,7 +272,7 @@ SELECT item_id, round(CASE WHEN len(fa) = 0 OR len(fb) = 0 THEN 0.0::DOUBLE
     ),
 )
 def _jaccard(spark, sf):
-    prints = X.articles(spark, sf).select("item_id", T.fingerprint(C("headline"), F.lit("")).alias("f"))
+    prints = X.articles(spark, sf).select("item_id", T.fingerprint(C("headline"), C("summary")).alias("f"))
     following = prints.select((C("item_id") - 1).alias("item_id"), C("f").alias("g"))
     return prints.join(following, "item_id").select("item_id", F.round(T.jaccard(C("f"), C("g")), 6).alias("jaccard"))
 
@@ -863,7 +863,7 @@ def _seed_context(spark, sf):
     with_tables(
         """
 SELECT item_id, md5('Headline: ' || headline || chr(10) || 'Summary: ' || summary || chr(10) || 'Source: ' || topic_name || chr(10) || 'Published: '
-    || strftime(published_utc, '%Y-%m-%d %H:%M:%S') || chr(10) || chr(10) || 'Full text:' || chr(10) || headline) AS context,
+    || strftime(published_utc, '%Y-%m-%d %H:%M:%S') || chr(10) || chr(10) || 'Full text:' || chr(10) || trim(headline || ' ' || summary)) AS context,
   '- b' || chr(10) || '- c' || chr(10) || '- d' || chr(10) || '- e' || chr(10) || '- ' || topic_name AS liked, 'None yet.' AS avoided
 FROM articles""",
         ARTICLES,
@@ -876,7 +876,7 @@ def _synthesis_context(spark, sf):
         C("summary"),
         C("topic_name"),
         F.date_format("published_utc", "yyyy-MM-dd HH:mm:ss"),
-        C("headline"),
+        F.trim(F.concat("headline", F.lit(" "), "summary")),
         memory,
         F.array(F.lit(" ")),
     )

@@ -233,6 +233,7 @@ def prune_by_titles(
             break
         big = current.join(large, "cluster_id")
         means = title_similarity(big.select("cluster_id", "item_id"), unit_titles)
+        means = means.withColumn("mean_similarity", F.round("mean_similarity", 12))  # as inside one task
         worst = first_per_key(means, ["cluster_id"], ["mean_similarity", "item_id"])
         failing = cut_lineage(worst.where(F.col("mean_similarity") < min_mean).select("cluster_id", "item_id"))
         done = big.join(failing.select("cluster_id"), "cluster_id", "left_anti").select("cluster_id", "item_id")
