@@ -327,11 +327,33 @@ def _select_by_quota(spark, sf):
     return K.select_by_quota(cores_of(spark, sf), QUOTAS, key="cluster_id").select("cluster_id", "bucket", "picked_by")
 
 
-@query("random_index_vectors")
+INDEXED = f"""
+it AS (SELECT item_id, unnest({sql_tokens('headline')}) AS token FROM articles
+  UNION ALL SELECT item_id, 'ent_' || e FROM (SELECT item_id, unnest(list_distinct(list_concat({SQL_STRICT}, ['entity_group_' || (item_id % 19)]))) AS e FROM articles),
+    (SELECT unnest(range(0, 2)) AS twice)),
+ic AS (SELECT item_id, token, count(*) AS c FROM it GROUP BY ALL),
+iw AS (SELECT item_id, token, (1 + ln(1 + c)) * (ln(((SELECT count(*) FROM articles) + 1) / (count(*) OVER (PARTITION BY token) + 1)::DOUBLE) + 1) AS w FROM ic),
+ih AS (SELECT item_id, w, md5('1337|' || token || '|' || i) AS h FROM iw, (SELECT unnest(range(0, 10)) AS i)),
+ix AS (SELECT item_id, ('0x' || substr(h, 1, 8))::BIGINT % 256 AS d, sum(CASE WHEN substr(h, 9, 1) < '8' THEN -w ELSE w END) AS x FROM ih GROUP BY ALL),
+iu AS (SELECT item_id, d, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS x FROM ix)"""
+
+
+@query(
+    "random_index_vectors",
+    with_tables(
+        " SELECT item_id, round(sum(x * (d + 1)), 5) AS checksum, round(max(x), 6) AS most, round(min(x), 6) AS least FROM iu GROUP BY item_id",
+        ARTICLES,
+        INDEXED,
+    ),
+)
 def _random_index_vectors(spark, sf):
     rows = items(spark, sf)
     out = K.random_index_vectors(K.embedding_terms(rows), rows.count())
-    return out.select("item_id", F.transform("vec", lambda x: F.round(x, 6)).cast("string").alias("vec"))
+    weighted = F.zip_with("vec", F.sequence(F.lit(1), F.size("vec")), lambda x, d: x * d)
+    return out.select(
+        "item_id", F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 5).alias("checksum"),
+        F.round(F.array_max("vec"), 6).alias("most"), F.round(F.array_min("vec"), 6).alias("least"),
+    )
 
 
 @query("spherical_kmeans")

@@ -142,7 +142,10 @@ def _recent_portion(spark, sf):
     return ingest.recent_portion(X.articles(spark, sf), 300).select("item_id")
 
 
-@query("seeded_shuffle")
+@query(
+    "seeded_shuffle",
+    with_tables(" SELECT item_id, row_number() OVER (ORDER BY md5('1337|' || item_id), item_id) - 1 AS shuffle_pos FROM articles", ARTICLES),
+)
 def _seeded_shuffle(spark, sf):
     return ingest.shuffled(X.articles(spark, sf).select("item_id"), seed=1337)
 

@@ -52,8 +52,9 @@ def random_index_vectors(terms: DataFrame, documents: int, dim: int = 256, sprea
     """
     weights = term_weights(terms, documents)
     parts = weights.select("item_id", "token", "w", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_i"))
-    h = F.xxhash64(F.lit(salt), "token", "_i")
-    signed = parts.select("item_id", F.pmod(h, F.lit(dim)).alias("_d"), F.when(h < 0, -F.col("w")).otherwise(F.col("w")).alias("_x"))
+    h = F.md5(F.concat_ws("|", F.lit(str(salt)), "token", F.col("_i").cast("string")))
+    place = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim
+    signed = parts.select("item_id", place.alias("_d"), F.when(F.substring(h, 9, 1) < "8", -F.col("w")).otherwise(F.col("w")).alias("_x"))
     summed = signed.groupBy("item_id", "_d").agg(F.sum("_x").alias("_x"))
     packed = summed.groupBy("item_id").agg(F.collect_list(F.struct("_d", "_x")).alias("_m"))
     return packed.select("item_id", _dense_unit("_m._d", "_m._x", F.lit(dim)).alias("vec"))

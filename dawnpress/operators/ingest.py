@@ -134,9 +134,9 @@ def recent_portion(items: DataFrame, overfetch: int, seed: int | None = None) ->
 
 
 def shuffled(items: DataFrame, seed: int, name: str = "shuffle_pos") -> DataFrame:
-    """Reproducible random order: position by seeded hash."""
-    keyed = items.withColumn("_h", F.xxhash64(F.col("item_id"), F.lit(seed)))
-    return global_position(keyed, ["_h", "item_id"], F.shiftright("_h", 52), name).drop("_h")
+    """Reproducible random order: position by the md5 of seed and id."""
+    keyed = items.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("item_id").cast("string"))))
+    return global_position(keyed, ["_h", "item_id"], F.substring("_h", 1, 3), name).drop("_h")
 
 
 def title_dedupe(items: DataFrame, threshold: float = 0.92, one_per_event: bool = False) -> DataFrame:
