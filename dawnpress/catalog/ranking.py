@@ -277,7 +277,88 @@ def _feed(spark, sf, k):
     return feed.select("session_id", "feed_rank", "id", F.md5("title").alias("title"), "domain", "link")
 
 
-@query("feed_diverse")
+def sql_seeded(size: int) -> str:
+    """Pre-ranked candidates (``size`` a session) with interest and commute bonuses, ranked again."""
+    return f"""
+fs AS (SELECT c.*, (base_score + CASE WHEN t.n IS NULL THEN 0.10 ELSE 0 END + CASE WHEN k.n IS NULL THEN 0.06 ELSE 0 END + 0.08 * greatest(0, 4 - recency_bucket) / 4
+     - 0.08 * coalesce(t.n, 0)) * CASE WHEN s.topic_id IS NOT NULL THEN 0.35 ELSE 1 END AS score FROM cand c
+  LEFT JOIN recent_topics t ON t.session_id = c.session_id AND t.topic_id = c.topic_id
+  LEFT JOIN recent_clusters k ON k.session_id = c.session_id AND k.topic_cluster_id = c.topic_cluster_id
+  LEFT JOIN streaks s ON s.session_id = c.session_id AND s.topic_id = c.topic_id),
+fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, item_id) AS pr FROM fs) WHERE pr <= {size}),
+ih AS (SELECT item_id, lower(trim(headline || ' ' || summary || CASE WHEN summary = '' THEN '' ELSE ' ' END || topic_name || ' ' || vibe_style)) AS hay,
+  greatest(0, 4 - recency_bucket) / 4.0::DOUBLE AS fresh,
+  greatest(least(1.0::DOUBLE, CASE WHEN summary = '' THEN 0 ELSE len(string_split(summary, ' ')) END / 55.0::DOUBLE), CASE WHEN regexp_matches(lower(vibe_style), 'analytical|deep') THEN 0.8 ELSE 0 END) AS deep
+  FROM articles),
+it AS (SELECT *, list_distinct(regexp_extract_all(hay, '[a-z0-9]+')) AS words FROM ih),
+fb AS (SELECT fr.session_id, fr.item_id, fr.pr, fr.score + 0.30 * least(1.0::DOUBLE, 0.22 * len(list_intersect(words, tokens)) + 0.45 * least(3, len(list_filter(phrases, lambda p: contains(hay, p)))))
+  + CASE commute WHEN '' THEN 0 WHEN 'short' THEN 0.08 * fresh WHEN 'by train' THEN 0.08 * deep ELSE 0.08 * (fresh + deep) / 2 END AS score
+  FROM fr JOIN it USING (item_id) JOIN lexicon USING (session_id)),
+ranked AS (SELECT session_id, item_id, score, row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, pr) AS pre_rank FROM fb)"""
+
+
+PRINTS = """
+prints AS (SELECT item_id, list_distinct(list_filter(string_split(lower(headline || ' ' || summary), ' '), lambda w: w <> '')) AS print FROM articles)"""
+
+# Places count from 1. A step picks the place of the largest value, or looks at the next place of the order.
+DIVERSE = """
+head AS (SELECT session_id, item_id, score, pre_rank FROM ranked WHERE pre_rank <= 40),
+met AS (SELECT DISTINCT least(a.item_id, b.item_id) AS x, greatest(a.item_id, b.item_id) AS y FROM head a JOIN head b ON a.session_id = b.session_id AND a.item_id <> b.item_id),
+alike AS (SELECT x, y, len(list_intersect(p.print, q.print))::DOUBLE / (len(p.print) + len(q.print) - len(list_intersect(p.print, q.print))) AS sim
+  FROM met JOIN prints p ON p.item_id = x JOIN prints q ON q.item_id = y),
+cells AS (SELECT a.session_id, a.pre_rank AS i, b.pre_rank AS j, coalesce(n.sim, 0) AS sim FROM head a JOIN head b ON a.session_id = b.session_id
+  LEFT JOIN alike n ON n.x = least(a.item_id, b.item_id) AND n.y = greatest(a.item_id, b.item_id)),
+lines AS (SELECT session_id, i, list(sim ORDER BY j) AS line FROM cells GROUP BY ALL),
+matrix AS (SELECT session_id, list(line ORDER BY i) AS sims FROM lines GROUP BY session_id),
+base AS (SELECT session_id, list(score ORDER BY pre_rank) AS scores, list(item_id ORDER BY pre_rank) AS ids, count(*) AS n FROM head GROUP BY session_id),
+mmr AS (
+  SELECT session_id, 0 AS step, CAST([] AS BIGINT[]) AS chosen, list_transform(scores, lambda s: 0.0::DOUBLE) AS penalty FROM base
+  UNION ALL
+  SELECT session_id, step + 1, list_append(chosen, best), list_transform(penalty, lambda p, i: greatest(p, sims[best][i])) FROM (
+    SELECT m.session_id, m.step, m.chosen, m.penalty, x.sims,
+      list_position(list_transform(b.scores, lambda s, i: CASE WHEN list_contains(m.chosen, i) THEN -1e300 ELSE 0.82 * s - 0.18 * m.penalty[i] END),
+        list_max(list_transform(b.scores, lambda s, i: CASE WHEN list_contains(m.chosen, i) THEN -1e300 ELSE 0.82 * s - 0.18 * m.penalty[i] END)))::BIGINT AS best
+    FROM mmr m JOIN base b USING (session_id) JOIN matrix x USING (session_id) WHERE m.step < least(20, b.n))),
+picked AS (SELECT session_id, arg_max(chosen, step) AS chosen FROM mmr GROUP BY session_id),
+steps AS (SELECT session_id, max(step) AS step FROM interactions GROUP BY session_id),
+draws AS (SELECT p.session_id, chosen, list_filter(range(1, least(n, 40) + 1), lambda i: NOT list_contains(chosen, i)) AS others, greatest(0.04::DOUBLE, exp(-greatest(step, 0) / 220.0::DOUBLE) * 0.18) AS eps,
+  ('0x' || substr(md5(p.session_id || '|' || step || '|gate'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS gate,
+  ('0x' || substr(md5(p.session_id || '|' || step || '|place'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS place,
+  ('0x' || substr(md5(p.session_id || '|' || step || '|pick'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS pick
+  FROM picked p JOIN base USING (session_id) JOIN steps USING (session_id)),
+swapped AS (SELECT session_id, CASE WHEN gate < eps AND len(others) > 0 THEN
+    list_transform(chosen, lambda c, i: CASE WHEN i = CAST(floor(place * len(chosen)) AS BIGINT) + 1 THEN others[CAST(floor(pick * len(others)) AS BIGINT) + 1] ELSE c END)
+  ELSE chosen END AS walk FROM draws),
+walks AS (SELECT session_id, list_concat(walk, range(1, n + 1)) AS walk FROM swapped JOIN base USING (session_id)),
+spread AS (
+  SELECT session_id, 0 AS step, CAST([] AS BIGINT[]) AS kept FROM walks
+  UNION ALL
+  SELECT s.session_id, s.step + 1, CASE WHEN len(kept) >= 20 OR list_contains(kept, walk[s.step + 1])
+      OR len(list_filter(kept, lambda q: sims[walk[s.step + 1]][q] > 0.35)) > 0 THEN kept ELSE list_append(kept, walk[s.step + 1]) END
+  FROM spread s JOIN walks USING (session_id) JOIN matrix USING (session_id) WHERE s.step < len(walk)),
+final AS (SELECT session_id, arg_max(kept, step) AS kept FROM spread GROUP BY session_id),
+fed AS (SELECT session_id, ids[k] AS item_id, place FROM (SELECT session_id, unnest(kept) AS k, unnest(range(1, len(kept) + 1)) AS place FROM final) JOIN base USING (session_id)),
+filled AS (SELECT * FROM fed UNION ALL SELECT r.session_id, r.item_id, r.recall_rank + 20 FROM recalled r
+  WHERE NOT EXISTS (SELECT 1 FROM fed f WHERE f.session_id = r.session_id AND f.item_id = r.item_id)),
+feed AS (SELECT session_id, item_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY place) AS INTEGER) AS feed_rank FROM filled)"""
+
+
+@query(
+    "feed_diverse",
+    with_tables(
+        """ SELECT session_id, feed_rank, item_id AS id, md5(headline) AS title, topic_name AS domain, link FROM feed JOIN articles USING (item_id) WHERE feed_rank <= 20""",
+        INTERACTIONS,
+        LATEST,
+        VECTORS,
+        BLOCKED,
+        RECALL,
+        PRE_RANK,
+        SEEDS,
+        sql_seeded(96),
+        PRINTS,
+        DIVERSE,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _feed_diverse(spark, sf):
     return _feed(spark, sf, None)
 
