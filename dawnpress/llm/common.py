@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,21 +36,29 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Run ``function`` on each Arrow batch; it returns the columns of ``schema`` by name.
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, rows: int | None = 512) -> DataFrame:
+    """Run ``function`` on slices of at most ``rows`` rows of each Arrow batch, or on whole batches if that is None.
 
-    Columns may be Python lists, NumPy arrays or Arrow arrays of any common length.
+    It returns the columns of ``schema`` by name: Python lists, NumPy arrays or Arrow arrays of any common length. Slices keep the
+    Python objects made of a batch few.
     """
     kinds = to_arrow(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield as_batch(function(batch), kinds)
+            for at in range(0, batch.num_rows, rows or batch.num_rows):
+                yield as_batch(function(batch.slice(at, rows)), kinds)
 
     return df.mapInArrow(run, schema)
 
 
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with a dotted name a field of a struct column."""
+    first, *fields = name.split(".")
+    values = batch.column(first)
+    return pc.struct_field(values, fields) if fields else values
+
+
 def to_arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -84,7 +84,7 @@ def document_frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
             seen += grams(text) > 0
         return {"place": np.arange(-1, DIMENSIONS), "n": np.r_[len(texts), seen]}
 
-    counts = map_batches(training.select("text"), run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    counts = map_batches(training.select("text"), run, "place int, n long", None).groupBy("place").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(DIMENSIONS + 1)
     for row in counts:  # one row per place
         found[row["place"]] = row["n"]

@@ -32,7 +32,7 @@ END_ID = 1
 GRID = 16
 PATTERN_PIECES = 3
 #: Cached chunks per Python worker; beyond that the cache starts anew. Longer chunks are not cached.
-CACHED, CACHED_LENGTH = 500_000, 48
+CACHED, CACHED_LENGTH = 200_000, 48
 #: Characters of text whose unknown chunks are looked up together.
 GROUP = 1 << 18
 #: Pieces of one length that are numbered in one task.

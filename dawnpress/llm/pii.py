@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnpress.llm.common import map_batches
+from dawnpress.llm.common import column, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -179,7 +179,7 @@ def combinations(docs: DataFrame) -> list:
             counts[(*features, before.get(i, -1), after.get(i, -1), across.get(i, -1), label)] += 1
         return {"combination": [list(k) for k in counts], "n": list(counts.values())}
 
-    counted = map_batches(docs.select("text"), run, "combination array<int>, n long").groupBy("combination").agg(F.sum("n").alias("n"))
+    counted = map_batches(docs.select("text"), run, "combination array<int>, n long", None).groupBy("combination").agg(F.sum("n").alias("n"))
     return counted.orderBy(F.col("n").desc(), "combination").limit(COMBINATIONS).collect()
 
 
@@ -262,22 +262,27 @@ def train(docs: DataFrame) -> Field:
     return Field(unary, chain, float(agree))
 
 
+def all_spans(texts: list[str | None], field: Field) -> tuple[list[list[dict]], list[list[dict]]]:
+    """Of each text the spans of the patterns, and these with the ones that the field adds."""
+    graph, base = Graph(), []
+    for i, text in enumerate(texts):
+        base.append(base_spans(text))
+        graph.add(i, text or "", base[-1])
+    more: dict[int, list] = {}
+    for document, kind, start, end in field.added(graph):
+        more.setdefault(document, []).append((kind, start, end))
+    named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
+    return [named(b) for b in base], [named(sorted(b + more[i]) if i in more else b) for i, b in enumerate(base)]
+
+
 def find(docs: DataFrame, field: Field, *keep: str) -> DataFrame:
     """``keep`` columns, ``base`` and ``spans`` (kind, start, end) for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kinds, columns = dict(docs.dtypes), list(keep)
 
     def run(batch):
-        graph, base = Graph(), []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            base.append(base_spans(text))
-            graph.add(i, text or "", base[-1])
-        more: dict[int, list] = {}
-        for document, kind, start, end in shared.value.added(graph):
-            more.setdefault(document, []).append((kind, start, end))
-        named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
-        every = [named(sorted(b + more[i]) if i in more else b) for i, b in enumerate(base)]
-        return {c: batch.column(c) for c in columns} | {"base": [named(b) for b in base], "spans": every}
+        base, spans = all_spans(batch.column("text").to_pylist(), shared.value)
+        return {c: batch.column(c) for c in columns} | {"base": base, "spans": spans}
 
     span = "array<struct<kind: string, start: long, end: long>>"
     schema = "".join(f"`{c}` {kinds[c]}, " for c in columns) + f"base {span}, spans {span}"
@@ -305,15 +310,15 @@ def masked(text: str, spans: list[dict]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets, and ``n_chars`` counted anew where it is a column."""
     names = docs.columns
-    packed = docs.select(F.struct(*names).alias("row"), "text")
-    found = find(packed, train(docs), "row", "text").select("row", "text", "spans")
-    kinds = dict(found.dtypes)
+    packed = docs.select(F.struct(*names).alias("row"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batch):
-        texts = [masked(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-        return {"row": batch.column("row"), "text": texts}
+        texts = column(batch, "row.text").to_pylist()
+        spans = all_spans(texts, shared.value)[1]
+        return {"row": batch.column("row"), "text": [masked(t, s) if s else t for t, s in zip(texts, spans, strict=True)]}
 
-    cleaned = map_batches(found, run, f"row {kinds['row']}, text string")
+    cleaned = map_batches(packed, run, f"row {packed.dtypes[0][1]}, text string")
     new = {"text": F.col("text")} | ({"n_chars": F.when(F.col("text").isNotNull(), F.length("text"))} if "n_chars" in names else {})
     typed = {n: c.cast(dict(docs.dtypes)[n]) for n, c in new.items()}
     return cleaned.select(*[typed[n].alias(n) if n in typed else F.col("row")[n].alias(n) for n in names])

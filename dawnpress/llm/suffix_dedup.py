@@ -220,7 +220,7 @@ def find_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
             "n": np.r_[n[send] << 2 | kind[send], f_n << 2 | FOUND],
         }
 
-    return map_batches(docs.select("_doc", "_tag", "text"), run, "owner long, whole long, _doc long, place long, n long")
+    return map_batches(docs.select("_doc", "_tag", "text"), run, "owner long, whole long, _doc long, place long, n long", None)
 
 
 def compare_stretches(rows: DataFrame, partitions: int) -> DataFrame:
@@ -288,7 +288,7 @@ def fetch_stretches(marked: DataFrame, length: int) -> DataFrame:
             ]
         return dict(zip(("key", "_doc", "place", "data"), zip(*rows, strict=True) if rows else ([],) * 4, strict=True))
 
-    return map_batches(marked, run, "key long, _doc long, place long, data binary")
+    return map_batches(marked, run, "key long, _doc long, place long, data binary", None)
 
 
 def order_suffixes(rows: DataFrame, length: int, partitions: int) -> DataFrame:

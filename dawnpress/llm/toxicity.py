@@ -25,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnpress.llm.common import map_batches, remainder, stored
+from dawnpress.llm.common import column, map_batches, remainder, stored
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents the model is fitted to, and the largest number of learned terms.
@@ -136,7 +136,7 @@ def learn_terms(labelled: DataFrame) -> dict[bytes, float]:
         terms = list(counts[0].keys() | counts[1].keys())
         return {"term": terms, "clean": [counts[0][t] for t in terms], "toxic": [counts[1][t] for t in terms]}
 
-    counted = map_batches(labelled.select("text", "toxic"), run, "term binary, clean long, toxic long")
+    counted = map_batches(labelled.select("text", "toxic"), run, "term binary, clean long, toxic long", None)
     totals = stored(counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3"))
     everything = totals.where(F.length("term") == 0).first()
     if everything is None:
@@ -160,28 +160,28 @@ class Scorer:
     def __init__(self, terms: dict[bytes, float], trees=None, calibration=None):
         self.terms, self.trees, self.calibration = terms, trees, calibration
 
-    def featured(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """``keep`` columns and ``features`` for every row."""
+    def featured(self, docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+        """``keep`` columns and ``features`` of column ``text`` (or a field ``struct.text`` of a kept one) for every row."""
         lexicon, kinds = Lexicon(self.terms), dict(docs.dtypes)
         columns = list(keep)
 
         def run(batch):
-            rows = [features(t, lexicon) for t in batch.column("text").to_pylist()]
+            rows = [features(t, lexicon) for t in column(batch, text).to_pylist()]
             return {c: batch.column(c) for c in columns} | {"values": rows}
 
         schema = "".join(f"`{c}` {kinds[c]}, " for c in columns) + "values array<double>"
-        made = map_batches(docs.select(*dict.fromkeys([*columns, "text"])), run, schema)
+        made = map_batches(docs.select(*dict.fromkeys([*columns, text.split(".")[0]])), run, schema)
         return made.withColumn("features", array_to_vector("values")).drop("values")
 
     def probability(self, featured: DataFrame) -> DataFrame:
         scored = self.trees.transform(featured).withColumn("raw", vector_to_array("probability")[1])
         return scored.drop("probability", "rawPrediction", "prediction", "features")
 
-    def score(self, docs: DataFrame, *keep: str) -> DataFrame:
+    def score(self, docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
         """``keep`` columns, ``score`` and ``predicted`` for every row of ``docs``."""
         if self.trees is None:
             return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-        raw = self.probability(self.featured(docs, *keep))
+        raw = self.probability(self.featured(docs, *keep, text=text))
         calibrated = self.calibration.transform(raw)
         value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("prediction") + 0.01 * F.col("raw")))
         scored = calibrated.select(*keep, value.alias("score"))
@@ -218,5 +218,5 @@ def _third():
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return train(docs, labels).score(packed, "row").where("predicted = 0").select("row.*")
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    return train(docs, labels).score(packed, "row", text="row.text").where("predicted = 0").select("row.*")
