@@ -298,14 +298,15 @@ ranked AS (SELECT session_id, item_id, score, row_number() OVER (PARTITION BY se
 
 
 PRINTS = """
-prints AS (SELECT item_id, list_distinct(list_filter(string_split(lower(headline || ' ' || summary), ' '), lambda w: w <> '')) AS print FROM articles)"""
+spelt AS (SELECT DISTINCT item_id, unnest(list_filter(string_split(lower(headline || ' ' || summary), ' '), lambda w: w <> '')) AS word FROM articles),
+numbered AS (SELECT item_id, CAST(dense_rank() OVER (ORDER BY word) AS INTEGER) AS number FROM spelt),
+widths AS (SELECT item_id, count(*) AS n FROM numbered GROUP BY item_id),
+shared AS (SELECT a.item_id AS x, b.item_id AS y, count(*) AS c FROM numbered a JOIN numbered b ON a.number = b.number AND a.item_id < b.item_id GROUP BY ALL),
+alike AS MATERIALIZED (SELECT x, y, c::DOUBLE / (p.n + q.n - c) AS sim FROM shared JOIN widths p ON p.item_id = x JOIN widths q ON q.item_id = y)"""
 
 # Places count from 1. A step picks the place of the largest value, or looks at the next place of the order.
 DIVERSE = """
 head AS (SELECT session_id, item_id, score, pre_rank FROM ranked WHERE pre_rank <= 40),
-met AS (SELECT DISTINCT least(a.item_id, b.item_id) AS x, greatest(a.item_id, b.item_id) AS y FROM head a JOIN head b ON a.session_id = b.session_id AND a.item_id <> b.item_id),
-alike AS (SELECT x, y, len(list_intersect(p.print, q.print))::DOUBLE / (len(p.print) + len(q.print) - len(list_intersect(p.print, q.print))) AS sim
-  FROM met JOIN prints p ON p.item_id = x JOIN prints q ON q.item_id = y),
 cells AS (SELECT a.session_id, a.pre_rank AS i, b.pre_rank AS j, coalesce(n.sim, 0) AS sim FROM head a JOIN head b ON a.session_id = b.session_id
   LEFT JOIN alike n ON n.x = least(a.item_id, b.item_id) AND n.y = greatest(a.item_id, b.item_id)),
 lines AS (SELECT session_id, i, list(sim ORDER BY j) AS line FROM cells GROUP BY ALL),
@@ -363,7 +364,38 @@ def _feed_diverse(spark, sf):
     return _feed(spark, sf, None)
 
 
-@query("feed_by_relevance")
+RELEVANT = """
+listed AS MATERIALIZED (SELECT r.session_id, r.item_id, r.recall_rank, row_number() OVER (PARTITION BY r.session_id ORDER BY k.pre_rank NULLS LAST, r.recall_rank) AS place
+  FROM recalled r LEFT JOIN ranked k ON k.session_id = r.session_id AND k.item_id = r.item_id),
+core AS MATERIALIZED (SELECT session_id, item_id, place FROM listed WHERE place <= 150),
+doubles AS MATERIALIZED (SELECT a.session_id, a.place, list(b.place) AS others FROM core a JOIN core b ON a.session_id = b.session_id AND b.place < a.place
+  JOIN alike n ON n.x = least(a.item_id, b.item_id) AND n.y = greatest(a.item_id, b.item_id) AND n.sim > 0.35 GROUP BY ALL),
+walk AS (
+  SELECT session_id, 0 AS step, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT session_id FROM core)
+  UNION ALL
+  SELECT w.session_id, w.step + 1, CASE WHEN len(kept) >= 50 OR list_has_any(kept, coalesce(others, [])) THEN kept ELSE list_append(kept, c.place) END
+  FROM walk w JOIN core c ON c.session_id = w.session_id AND c.place = w.step + 1 LEFT JOIN doubles d ON d.session_id = w.session_id AND d.place = w.step + 1),
+final AS (SELECT session_id, arg_max(kept, step) AS kept FROM walk GROUP BY session_id),
+placed AS (SELECT l.session_id, l.item_id, coalesce(list_position(f.kept, l.place), 0) AS seat, l.recall_rank FROM listed l JOIN final f USING (session_id)),
+feed AS (SELECT session_id, item_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY (seat = 0), seat, recall_rank) AS INTEGER) AS feed_rank FROM placed)"""
+
+
+@query(
+    "feed_by_relevance",
+    with_tables(
+        """ SELECT session_id, feed_rank, item_id AS id, md5(headline) AS title, topic_name AS domain, link FROM feed JOIN articles USING (item_id) WHERE feed_rank <= 50""",
+        INTERACTIONS,
+        LATEST,
+        VECTORS,
+        BLOCKED,
+        RECALL,
+        PRE_RANK,
+        SEEDS,
+        sql_seeded(110),
+        PRINTS,
+        RELEVANT,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _feed_by_relevance(spark, sf):
     return _feed(spark, sf, 50)
 
