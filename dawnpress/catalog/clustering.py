@@ -78,7 +78,37 @@ def _entity_graph_clusters(spark, sf):
     return K.entity_graph_clusters(items(spark, sf)).select("cluster_id", "item_id", "size")
 
 
-@query("event_objects")
+SQL_NEWS_CATEGORY = (
+    "CASE "
+    + " ".join(f"WHEN regexp_matches(lower(headline || ' ' || summary), '{sql_word_regex(w)}') THEN '{n}'" for n, w in W.CATEGORY_WORDS.items())
+    + " ELSE 'other' END"
+)
+EVENTS = f"""
+eg AS (SELECT * FROM (SELECT component AS cluster_id, item_id, count(*) OVER (PARTITION BY component) AS size FROM comp) WHERE size >= 3),
+ea AS (SELECT cluster_id, size, a.*, {SQL_NEWS_CATEGORY} AS category,
+   row_number() OVER (PARTITION BY cluster_id ORDER BY published_utc DESC, a.item_id DESC) AS place FROM eg JOIN articles a ON a.item_id = eg.item_id),
+em AS (SELECT cluster_id, category FROM (SELECT cluster_id, category, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, min(pos)) AS r
+   FROM ea GROUP BY cluster_id, category) WHERE r = 1),
+ee AS (SELECT cluster_id, entity, count(*) AS n FROM eg JOIN ents USING (item_id) GROUP BY ALL),
+et AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, entity) AS r FROM ee),
+el AS (SELECT cluster_id, '[' || string_agg('{{"entity":"' || entity || '","count":' || n || '}}', ',' ORDER BY r) || ']' AS entities FROM et WHERE r <= 15 GROUP BY 1),
+ef AS (SELECT cluster_id, max(size) AS size, count(DISTINCT topic_name) AS source_diversity,
+   round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(published_utc))) / 86400000000.0, 6) AS age_days,
+   substr(sha256(min(CASE WHEN place = 1 THEN headline || '|' || link END)), 1, 16) AS story_id,
+   CAST(to_json(list(headline ORDER BY place) FILTER (WHERE place <= 7 AND headline <> '')) AS VARCHAR) AS key_facts FROM ea GROUP BY cluster_id)"""
+
+
+@query(
+    "event_objects",
+    with_tables(
+        """ SELECT story_id, cluster_id, category AS topic_category, size, source_diversity, age_days, coalesce(entities, '[]') AS entities, key_facts
+FROM ef JOIN em USING (cluster_id) LEFT JOIN el USING (cluster_id)""",
+        ARTICLES,
+        ENTITIES,
+        COMPONENTS,
+        EVENTS,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _event_objects(spark, sf):
     rows = items(spark, sf)
     return K.event_objects(K.entity_graph_clusters(rows), rows, X.now()).select(

@@ -312,7 +312,7 @@ def _head_signature(spark, sf):
     return X.articles(spark, sf).select("item_id", F.array_join(T.head_signature(tokens), " ").alias("signature"))
 
 
-# Accented letters are word characters for the reference's boundaries but not for RE2: replace them by one that is.
+# Accented letters are word characters for Java's Unicode boundaries but not for RE2: replace them by one that is.
 SQL_SPANS = (
     "list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g'), "
     f"'{W.ENTITY_PATTERN}'), lambda s: lower(trim(regexp_replace(s, '[^A-Za-z0-9 -]+', '', 'g'))))"

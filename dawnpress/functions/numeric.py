@@ -187,11 +187,15 @@ def depth(summary: Column, style: Column) -> Column:
     return F.when(reflective, F.greatest(words, F.lit(0.8))).otherwise(words)
 
 
+# Words of short and long trips.
+SHORT_TRIPS = ["short", "quick", "brief", "under_15", "<15"]
+LONG_TRIPS = ["long", "extended", "30", "over_30", "train"]
+
+
 def commute_bonus(commute: Column, fresh: Column, deep: Column, weight: float = 0.08) -> Column:
     """Short trips favour fresh items, long trips favour depth, anything else the mean of both."""
     low = F.lower(F.coalesce(commute, F.lit("")))
-    short = contains_any(low, ["short", "quick", "brief", "under_15", "<15"])
-    long = contains_any(low, ["long", "extended", "30", "over_30", "train"])
+    short, long = contains_any(low, SHORT_TRIPS), contains_any(low, LONG_TRIPS)
     return (
         F.when(low == "", 0.0)
         .when(short, fresh * weight)
