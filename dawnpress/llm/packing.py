@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -31,8 +32,9 @@ CAPACITY = 4096
 END_ID = 1
 GRID = 16
 PATTERN_PIECES = 3
-#: Cached chunks per Python worker; beyond that the cache starts anew. Longer chunks are not cached.
-CACHED, CACHED_LENGTH = 200_000, 48
+#: Cached chunks and words per Python worker; beyond that the later half goes, as frequent ones come early. Longer ones are
+#: not cached.
+CACHED, CACHED_LENGTH = 600_000, 48
 #: Characters of text whose unknown chunks are looked up together.
 GROUP = 1 << 18
 #: Pieces of one length that are numbered in one task.
@@ -58,37 +60,36 @@ class ChunkIds:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}  # chunks, and the words that they consist of
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > CACHED:
-            self.chunks.clear()
-        if len(self.words) > CACHED:
-            self.words = {"": b""}
+        if len(self.known) > CACHED:
+            self.known = dict(islice(self.known.items(), CACHED // 2 + 1))
+        known = self.known
         split = {c: (m[1].lower(), m[2]) for c in chunks if len(c) <= CACHED_LENGTH and (m := self.PARTS.fullmatch(c))}
-        new = list({w for pair in split.values() for w in pair if w not in self.words})
+        new = list({w for pair in split.values() for w in pair if w not in known})
         if new:
             ids = self.ids(" ".join(new))
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(new):
                 raw, ends = ids.tobytes(), (4 * ends).tolist()
-                self.words.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+                known.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))
             else:
-                self.words.update((w, self.ids(w).tobytes()) for w in new)
+                known.update((w, self.ids(w).tobytes()) for w in new)
         for chunk, (word, tail) in split.items():
-            self.chunks[chunk] = self.words[word] + self.words[tail]
+            if chunk not in known:
+                known[chunk] = known[word] + known[tail] if tail else known[word]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") if any(c in t for c in self.CONTROLS) else t.split() for t in texts]
-        found = [list(map(self.chunks.get, p)) for p in parts]
+        found = [list(map(self.known.get, p)) for p in parts]
         unknown = {c for p, f in zip(parts, found, strict=True) if None in f for c, x in zip(p, f, strict=True) if x is None}
         if unknown:
             self.learn(unknown)
-            fresh = {c: self.chunks[c] if c in self.chunks else self.ids(c).tobytes() for c in unknown}
+            fresh = {c: self.known[c] if c in self.known else self.ids(c).tobytes() for c in unknown}
             for p, f in zip(parts, found, strict=True):
                 if None in f:
                     f[:] = [fresh[c] if x is None else x for c, x in zip(p, f, strict=True)]
