@@ -106,3 +106,44 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 3), (3, 3), (7, 3), (7, 3), (8, 8), (9, 8)]
     kept = simhash.keep_first(spark.createDataFrame(rows, schema)).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 3, 8]
+
+
+def edited(text, rate, draw):
+    return " ".join("new%d" % draw.randrange(10**6) if draw.random() < rate else w for w in text.split())
+
+
+def plain_jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_planted_edits_are_near_copies(spark):
+    draw = random.Random(11)
+    pairs = []
+    for i in range(240):
+        text = " ".join(f"w{draw.randrange(3000)}" for _ in range(draw.choice([40, 150, 600, 2500])))
+        pairs.append((text, edited(text, (0.005, 0.01, 0.02, 0.04)[i % 4], draw)))
+    docs = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_first(docs, similarity=0.8).collect()}
+    alike = [plain_jaccard(*p) >= 0.8 for p in pairs]
+    found = [2 * i + 1 not in kept for i in range(len(pairs))]
+    assert not any(f and not a for f, a in zip(found, alike, strict=True))  # verified pairs only
+    assert 100 < sum(alike) < len(pairs) and sum(found) >= 0.98 * sum(alike)
+    assert all(2 * i in kept for i in range(len(pairs)))
+
+
+def test_a_large_group_of_near_copies_leaves_its_first(spark):
+    draw = random.Random(12)
+    text = " ".join(f"w{draw.randrange(3000)}" for _ in range(400))
+    rows = [(i, text if i == 0 else edited(text, 0.01, draw)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alike = [plain_jaccard(text, t) >= 0.8 for _, t in rows]
+    assert simhash.keep_first(docs, similarity=0.8).count() <= 1 + (len(rows) - sum(alike))
+
+
+def test_stage_setting_edges(spark):
+    schema = "doc_id long, text string"
+    assert simhash.keep_first(spark.createDataFrame([], schema), similarity=0.8).collect() == []
+    rows = [(7, "a b c d"), (7, "a b c d"), (3, "A B  C D"), (None, "a b c d"), (None, None), (9, None), (8, ""), (5, "a b c e")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, schema), similarity=0.8).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 3, 5, 8]
