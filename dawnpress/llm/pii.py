@@ -3,7 +3,8 @@
 Patterns find e-mail addresses, IP addresses, card numbers and telephone numbers; what they find stays. The field labels the remaining tokens with
 digits or an ``@``: chain edges join neighbours, skip edges join a token to the previous one in its
 document that is repeated or similar (same last digits, same address), however far away, so that a number written once with its
-country code is also found without. Potentials are fitted by pseudo-likelihood to what the patterns label, counted over all documents;
+country code is also found without. Numbers written in groups are compared by the last digits of the joined groups, and skip edges
+join the groups that share digits. Potentials are fitted by pseudo-likelihood to what the patterns label, counted over all documents;
 only counts of distinct feature combinations reach the driver, at most ``COMBINATIONS``. Labels are inferred
 by loopy belief propagation over all documents of a batch at once; a token is added if its label is surer than ``SURE``.
 
@@ -41,6 +42,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"\S+")
 NOT_DIGIT = re.compile(r"[^0-9]")
+#: A group of a number, and one that ends it.
+GROUP = re.compile(r"[0-9+()./-]*[0-9)][,;:.!?]*")
+STOP = re.compile(r"[,;:.!?]$")
+DOTTED = re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,}")
+#: Digits by which numbers are compared, and the most that are joined.
+TAIL, LONGEST = 7, 19
 
 
 def luhn(digits: str) -> bool:
@@ -106,7 +113,10 @@ def similar_key(token: str) -> str | None:
     if "@" in token:
         return token.lower().strip(".,;:<>()\"'")
     digits = NOT_DIGIT.sub("", token)
-    return digits[-7:] if len(digits) >= 7 else None
+    if len(digits) >= TAIL:
+        return digits[-TAIL:]
+    dotted = DOTTED.search(token)
+    return dotted[0] if dotted else None
 
 
 class Graph:
@@ -129,12 +139,36 @@ class Graph:
                 break
             self.skip.append((earlier, node))
 
+    def join_groups(self, earlier: int, node: int, digits: dict[int, str], runs: dict[int, int]) -> None:
+        """Skip edges between the groups of two numbers from their last ones back, as far as their digits agree."""
+        a, b, left, right, total = earlier, node, digits[earlier], digits[node], 0
+        while a < b and b > earlier + 1 and total < LONGEST:
+            n = min(len(left), len(right))
+            if left[-n:] != right[-n:]:
+                break
+            if (a, b) not in self.skip[-2 * LONGEST :]:
+                self.skip.append((a, b))
+            left, right, total = left[:-n], right[:-n], total + n
+            if not left:
+                a -= 1
+                if a < runs[earlier]:
+                    break
+                left = digits[a]
+            if not right:
+                b -= 1
+                if b < runs[node]:
+                    break
+                right = digits[b]
+
     def add(self, document: int, text: str, spans: list[tuple[int, int, int]]) -> None:
         if "@" not in text and not DIGIT.search(text):
             return
         tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
         marks, at = sorted((a, b, k) for k, a, b in spans), 0
         seen: dict[str, int] = {}
+        digits: dict[int, str] = {}  # of groups
+        runs: dict[int, int] = {}  # first group of the run of neighbours that a group is in
+        open_run, tail = -1, ""
         first, last = len(self.places), -2
         for i, (a, b) in enumerate(tokens):
             token = text[a:b]
@@ -153,10 +187,26 @@ class Graph:
                 self.chain.append((node - 1, node))
                 self.joined.add(node)
             key = similar_key(token)
+            whole = key is not None
+            if GROUP.fullmatch(token):
+                if last != i - 1 or open_run < 0:
+                    open_run, tail = node, ""
+                digits[node], runs[node] = NOT_DIGIT.sub("", token), open_run
+                tail = (tail + digits[node])[-TAIL:]
+                if not whole and len(tail) == TAIL and len(digits[node]) < TAIL:
+                    key = tail
+                if STOP.search(token):
+                    open_run = -1
+            else:
+                open_run = -1
             if key is not None:
                 if key in seen:
-                    self.skip.append((seen[key], node))
-                    self.extend_back(text, seen[key], node, first)
+                    earlier = seen[key]
+                    if whole and (earlier not in digits or len(digits[earlier]) >= TAIL or node not in digits):
+                        self.skip.append((earlier, node))
+                        self.extend_back(text, earlier, node, first)
+                    elif earlier in digits:
+                        self.join_groups(earlier, node, digits, runs)
                 seen[key] = node
             last = i
 

@@ -107,3 +107,46 @@ def test_empty(spark):
     assert pii.find(docs, pii.train(docs), "doc_id").collect() == []
     plain = spark.createDataFrame([(1, "no numbers"), (None, None)], "doc_id long, text string")
     assert [r.spans for r in pii.find(plain, pii.train(plain), "doc_id").collect()] == [[], []]
+
+
+def skips(text, spans=()):
+    graph = pii.Graph()
+    graph.add(0, text, list(spans))
+    words = [text[a:b] for _, a, b in graph.places]
+    return [(a, b, words[a], words[b]) for a, b in graph.skip]
+
+
+@pytest.mark.parametrize(
+    "first, second, groups",
+    [
+        ("+44 20 7946 0958", "20 7946 0958", ["20", "7946", "0958"]),
+        ("+33 6 12 34 56 78", "06 12 34 56 78", ["12", "34", "56", "78"]),
+        ("4539 1488 0343 6467", "4539 1488 0343 6467", ["4539", "1488", "0343", "6467"]),
+        ("10.0.3.7", "10.0.3.7.", ["10.0.3.7."]),
+        ("2079460958", "20 7946 0958", ["20", "7946", "0958"]),
+        ("20 7946 0958", "2079460958", ["2079460958"]),
+    ],
+)
+def test_grouped_and_short_repeats_get_skip_edges(first, second, groups):
+    found = skips(f"first {first} then 12 pages of 1990 and {second} at last, 5 of {second}")
+    assert {w for *_, w in found} >= set(groups)
+    assert all(pii.NOT_DIGIT.sub("", y) in pii.NOT_DIGIT.sub("", first + second) for *_, x, y in found)
+    assert len(set(found)) == len(found)
+    assert not skips(f"first {first} then 20 7111 2222 and 10.0.3.8 and 9911 5522 8833 0000")
+
+
+def test_groups_are_joined_in_linear_time():
+    for text in ("1 " * 100_000, "12 34 56 78 " * 30_000, "1.2.3 " * 60_000):
+        assert len(skips(text)) <= 2_000_000
+
+
+def test_repeats_of_grouped_numbers_are_added(spark):
+    rows = [(i, f"call +44 20 7{i % 10}{i % 7}6 {1000 + 7 * i} now, or 10.0.{i % 9}.{i % 250} it is") for i in range(300)]
+    rows += [(1000 + i, f"it has {i} pages of {1990 + i} and 3.{i} or more items") for i in range(60)]
+    rows.append((5000, "call +44 20 7946 0958 today. " + "filler words " * 100 + "then call 20 7946 0958 again"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(docs, pii.train(docs), "doc_id").collect()}
+    added = [s for s in found[5000].spans if s not in found[5000].base]
+    assert len(added) == 1 and added[0].kind == "phone"
+    assert rows[-1][1][added[0].start : added[0].end] in ("7946 0958", "20 7946 0958")  # a lone area code may stay unsure
+    assert all(not found[1000 + i].spans for i in range(60))
