@@ -1,3 +1,4 @@
+import base64
 import random
 import string
 
@@ -60,3 +61,32 @@ def test_rows(spark):
 @pytest.mark.parametrize("n, low_fails, high_fails", [(2000, 1.0, 9.0), (200_000, 1.2, 20.0)])
 def test_bands_follow_length(n, low_fails, high_fails):
     assert not bands.in_band(n, low_fails) and not bands.in_band(n, high_fails) and bands.in_band(n, 2.2)
+
+
+def base64_lines(n, line=76, seed=4):
+    coded = base64.b64encode(random.Random(seed).randbytes(n)).decode()
+    return "\n".join(coded[i : i + line] for i in range(0, n, line))[:n]
+
+
+@pytest.mark.parametrize("n", [500, 600, 1000, 1500, 4000, 4096, 8190, 20_000, 100_000])
+@pytest.mark.parametrize("line", [20, 40, 76])
+def test_base64_is_rejected(n, line):
+    assert not bands.verdict(base64_lines(n, line).encode(), zstandard.ZstdCompressor(level=3))[2]
+
+
+@pytest.mark.parametrize("n", [3000, 8190, 20_000, 100_000])
+def test_base64_mixed_with_prose_is_rejected(n):
+    packer = zstandard.ZstdCompressor(level=3)
+    words = prose(n // 4)
+    for share in (0.5, 0.6, 0.9):
+        coded, plain = base64_lines(int(n * share)), words[: n - int(n * share)]
+        if n > 4096 or share > 0.8:
+            assert not bands.verdict((plain + "\n" + coded).encode(), packer)[2]
+            assert not bands.verdict((coded + "\n" + plain).encode(), packer)[2]
+    assert bands.verdict(words[:n].encode(), packer)[2]
+
+
+def test_the_last_chunk_is_judged():
+    packer = zstandard.ZstdCompressor(level=3)
+    text = prose(2000)[:4096] + base64_lines(4000)
+    assert abs(bands.verdict(text.encode(), packer)[1] - 4000 / 8096) < 1e-9
