@@ -5,7 +5,8 @@ digits or an ``@``: chain edges join neighbours, skip edges join a token to the
 document that is repeated or similar (same last digits, same address), however far away, so that a number written once with its
 country code is also found without. Numbers written in groups are compared by the last digits of the joined groups, and skip edges
 join the groups that share digits. Potentials are fitted by pseudo-likelihood to what the patterns label, counted over all documents;
-only counts of distinct feature combinations reach the driver, at most ``COMBINATIONS``. Labels are inferred
+only counts of distinct feature combinations reach the driver: all of them, or if they are more than ``COMBINATIONS`` an unbiased sample
+of about that many, drawn by hash with a chance proportional to the weight and weighted by its inverse. Labels are inferred
 by loopy belief propagation over all documents of a batch at once; a token is added if its label is surer than ``SURE``.
 
 Nulls and edges: null and empty texts have no spans; offsets are code points, end excluded; patterns take time linear in the text;
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dawnpress.llm.common import column, map_batches
+from dawnpress.llm.common import column, map_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -48,6 +49,7 @@ STOP = re.compile(r"[,;:.!?]$")
 DOTTED = re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,}")
 #: Digits by which numbers are compared, and the most that are joined.
 TAIL, LONGEST = 7, 19
+DRAWS = 1 << 40
 
 
 def luhn(digits: str) -> bool:
@@ -212,7 +214,11 @@ class Graph:
 
 
 def combinations(docs: DataFrame) -> list:
-    """Counts of distinct (features, label before, label after, label across a skip edge, label), most frequent first."""
+    """Distinct (features, label before, label after, label across a skip edge, label) and their weight, most frequent first.
+
+    A combination weighs the square root of its count, so that rare ones keep a say. If there are more than ``COMBINATIONS``, each is
+    taken with a chance in proportion to that, and its weight divided by its chance: on average sums over them are those over all.
+    """
 
     def run(batch):
         graph, counts = Graph(), Counter()
@@ -230,7 +236,14 @@ def combinations(docs: DataFrame) -> list:
         return {"combination": [list(k) for k in counts], "n": list(counts.values())}
 
     counted = map_batches(docs.select("text"), run, "combination array<int>, n long", None).groupBy("combination").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.col("n").desc(), "combination").limit(COMBINATIONS).collect()
+    counted = stored(counted)
+    number, total = counted.select(F.count("*"), F.sum(F.sqrt("n"))).first()
+    chance = F.lit(1.0)
+    if number > COMBINATIONS:
+        chance = F.least(F.lit(1.0), F.sqrt("n") * F.lit(COMBINATIONS / total))
+    drawn = counted.withColumn("chance", chance).where(F.pmod(F.xxhash64("combination"), F.lit(DRAWS)) < F.col("chance") * F.lit(float(DRAWS)))
+    weighted = drawn.select("combination", "n", (F.sqrt("n") / F.col("chance")).alias("weight"))
+    return weighted.orderBy(F.col("n").desc(), "combination").collect()  # about ``COMBINATIONS`` rows at most
 
 
 class Field:
@@ -290,8 +303,8 @@ def train(docs: DataFrame) -> Field:
     if not rows:
         return Field(unary, chain, agree)
     table = np.array([r["combination"] for r in rows])
-    weight = np.array([float(r["n"]) for r in rows])
-    weight = np.sqrt(weight) / np.sqrt(weight).sum()  # rare combinations keep a say
+    weight = np.array([r["weight"] for r in rows])
+    weight = weight / weight.sum()
     features, (before, after, across, label) = table[:, :-4], table[:, -4:].T
     truth = np.eye(k)[label]
     one = lambda x: np.where(x[:, None] >= 0, np.eye(k)[np.maximum(x, 0)], 0.0)

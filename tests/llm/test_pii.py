@@ -150,3 +150,17 @@ def test_repeats_of_grouped_numbers_are_added(spark):
     assert len(added) == 1 and added[0].kind == "phone"
     assert rows[-1][1][added[0].start : added[0].end] in ("7946 0958", "20 7946 0958")  # a lone area code may stay unsure
     assert all(not found[1000 + i].spans for i in range(60))
+
+
+def test_rare_combinations_are_drawn_not_cut(spark, monkeypatch):
+    rows = [(i, f"x{'ab9-_/'[i % 6]}{'q' * (i % 5)}{i}{'-' * (i % 4)}z{i % 3} or +1 (988) 555-{1000 + i} and {i} of {'9.' * (i % 9)}1") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = {tuple(r.combination): r for r in pii.combinations(docs)}
+    limit = len(every) // 2
+    monkeypatch.setattr(pii, "COMBINATIONS", limit)
+    drawn = {tuple(r.combination): r for r in pii.combinations(docs)}
+    ranked = sorted(every, key=lambda c: -every[c].n)
+    assert len(drawn) < len(every) and any(c in drawn for c in ranked[limit:])
+    total = sum(r.weight for r in every.values())
+    assert abs(sum(r.weight for r in drawn.values()) / total - 1) < 0.15
+    assert all(r.weight >= every[c].weight - 1e-9 for c, r in drawn.items())
