@@ -4,7 +4,8 @@ A text is the vector of its letter n-grams (one to three bytes of lower-case UTF
 hashed to ``DIMENSIONS`` places, weighted by TF-IDF and scaled to length one. Document frequencies are
 counted over all training documents. Each language has several centroids, found by spherical k-means over a sample of at most
 ``SAMPLE`` training documents of it. A text gets the language of the centroid with the largest cosine; it is marked as rejected if
-it is further from that centroid than all but a small share of the language's own sample.
+it is further from that centroid than all but a small share of the language's own sample. Every language is learned; centroids are kept
+in a table and come to the driver and the workers in blocks of ``LANGUAGES`` languages, the best of all blocks counts.
 
 Nulls and edges: texts without a letter, null and empty ones are ``und`` with score 0; documents without a language
 teach nothing; with nothing to learn from, every text is ``und``; repeated rows each get a row; ids may be null; other columns
@@ -14,6 +15,8 @@ are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,7 +27,7 @@ from dawnpress.llm.common import map_batches, remainder, stored
 DIMENSIONS = 4096
 #: Training documents of a language that its centroids are fitted to; document frequencies use all.
 SAMPLE = 1000
-#: Languages that can be learned: the most frequent ones. Keeps sample and centroids bounded.
+#: Languages whose centroids are held at once; texts are scored against one such block after another.
 LANGUAGES = 200
 DRAWS = 1 << 40
 CENTROIDS = 3
@@ -105,23 +108,24 @@ class Model:
             cosines = vectors([texts[i] for i in some], self.idf) @ self.centroids.T
             best = cosines.argmax(axis=1)
             for i, j, value in zip(some, best.tolist(), cosines[np.arange(len(some)), best].tolist(), strict=True):
-                langs[i], scores[i] = self.languages[j], min(1.0, max(0.0, value))
+                langs[i], scores[i] = self.languages[j], value
                 rejected[i] = value < self.limits[self.languages[j]]
         return langs, scores, rejected
 
 
-def train(docs: DataFrame) -> Model:
-    """Fit to all rows of ``docs`` (``doc_id, text, lang``) that have a language."""
+def train(docs: DataFrame) -> list[Callable[[], Model]]:
+    """Fit to all rows of ``docs`` (``doc_id, text, lang``) that have a language; each call gives the model of a block of languages."""
     known = docs.where("lang IS NOT NULL").select("doc_id", "text", "lang")
     seen, n = document_frequencies(known)
     idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
     ids = known.select("doc_id", "lang", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(DRAWS)).alias("draw"))
-    frequent = ids.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES)
+    sizes = stored(ids.groupBy("lang").count())
     by_draw = Window.partitionBy("lang").orderBy("draw", "doc_id")
     # draws below four times the sample's share: no task ranks more than some thousand rows of a language of any size
-    low = ids.join(F.broadcast(frequent), "lang").where(F.col("draw") < F.lit(4.0 * SAMPLE * DRAWS) / F.col("count"))
-    drawn = low.withColumn("nth", F.row_number().over(by_draw)).where(F.col("nth") <= SAMPLE)
-    sample = known.join(F.broadcast(drawn.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")  # at most LANGUAGES * SAMPLE rows
+    low = ids.join(F.broadcast(sizes), "lang").where(F.col("draw") < F.lit(4.0 * SAMPLE * DRAWS) / F.col("count"))
+    drawn = low.withColumn("nth", F.row_number().over(by_draw)).where(F.col("nth") <= SAMPLE).select("doc_id", "lang").distinct()
+    few = sizes.count() <= LANGUAGES  # then the sample has at most LANGUAGES * SAMPLE rows
+    sample = known.join(F.broadcast(drawn) if few else drawn, ["doc_id", "lang"], "left_semi")
 
     def fit(key, frame):
         texts = [t for t in frame["text"] if t and has_letter(t)][:SAMPLE]
@@ -134,26 +138,45 @@ def train(docs: DataFrame) -> Model:
         limit = float(np.quantile((points @ centroids.T).max(axis=1), OUTLIERS))
         return pd.DataFrame({"lang": key[0], "centroid": [c.tobytes() for c in centroids.astype(np.float32)], "cosine": limit})
 
-    ordered = sample.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, cosine double").orderBy("lang", "centroid")
-    rows = ordered.collect()  # at most LANGUAGES * CENTROIDS rows
-    centroids = np.array([np.frombuffer(r["centroid"], np.float32) for r in rows]).reshape(-1, DIMENSIONS)
-    return Model(idf, centroids, [r["lang"] for r in rows], {r["lang"]: r["cosine"] for r in rows})
+    fitted = stored(sample.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, cosine double"))
+    names = sorted(r["lang"] for r in fitted.select("lang").distinct().collect())
 
+    def block(first: str, last: str) -> Model:
+        rows = fitted.where(F.col("lang").between(first, last)).orderBy("lang", "centroid").collect()  # at most LANGUAGES * CENTROIDS rows
+        centroids = np.array([np.frombuffer(r["centroid"], np.float32) for r in rows]).reshape(-1, DIMENSIONS)
+        return Model(idf, centroids, [r["lang"] for r in rows], {r["lang"]: r["cosine"] for r in rows})
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+    blocks = [names[a : a + LANGUAGES] for a in range(0, len(names), LANGUAGES)]
+    return [partial(block, some[0], some[-1]) for some in blocks] or [lambda: Model(idf, np.zeros((0, DIMENSIONS)), [], {})]
+
+
+def identify(docs: DataFrame, models: list[Callable[[], Model]]) -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, names = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ("lang_pred", "score", "rejected")
+    for k, make in enumerate(models):
+        last = k + 1 == len(models)
+        rows = best_of(rows, docs.sparkSession.sparkContext.broadcast(make()), names, first=k == 0, last=last)
+        rows = rows if last else stored(rows)  # ends the reach of the block's centroids
+    return rows.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")))
+
+
+def best_of(rows: DataFrame, shared, names: tuple[str, ...], first: bool, last: bool) -> DataFrame:
+    """``rows`` (``doc_id, text``, after the first block also the best so far) with the better of that and this block."""
 
     def run(batch):
-        langs, scores, rejected = shared.value.predict(batch.column("text").to_pylist())
-        return {"doc_id": batch.column("doc_id"), "lang_pred": langs, "score": scores, "rejected": rejected}
+        found = shared.value.predict(batch.column("text").to_pylist())
+        if not first:
+            before = [batch.column(n).to_pylist() for n in names]
+            better = [new > old for new, old in zip(found[1], before[1], strict=True)]
+            found = [[n if b else o for n, o, b in zip(new, old, better, strict=True)] for new, old in zip(found, before, strict=True)]
+        kept = {} if last else {"text": batch.column("text")}
+        return {"doc_id": batch.column("doc_id")} | kept | dict(zip(names, found, strict=True))
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(rows, run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_batches(rows, run, f"doc_id long, {'' if last else 'text string, '}lang_pred string, score double, rejected boolean")
 
 
 def held_out_languages(docs: DataFrame) -> DataFrame:
     """Train on the documents outside the held-out fold and predict all."""
     fold = remainder(F.col("doc_id"), FOLDS)
-    model = train(docs.where(fold != HELD_OUT))
-    return identify(docs, model).withColumn("held_out", fold == HELD_OUT)
+    models = train(docs.where(fold != HELD_OUT))
+    return identify(docs, models).withColumn("held_out", fold == HELD_OUT)

@@ -40,3 +40,14 @@ def test_kmeans_separates():
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     centroids = language.spherical_kmeans(points, 3)
     assert sorted((points @ centroids.T).argmax(axis=1).tolist()) in ([0, 0, 1, 1, 2, 2],)
+
+
+def test_every_language_is_learned_in_blocks(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    found = lambda: {r.doc_id: (r.lang_pred, round(r.score, 4), r.rejected) for r in language.held_out_languages(docs).collect()}
+    whole = found()
+    assert len({lang for lang, *_ in whole.values()} - {"und"}) > 2
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    blocks = found()
+    assert {k: v[::2] for k, v in blocks.items()} == {k: v[::2] for k, v in whole.items()}
+    assert all(abs(blocks[k][1] - v[1]) < 2e-4 for k, v in whole.items())
