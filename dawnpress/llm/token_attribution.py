@@ -1,8 +1,8 @@
 """Token counts of sections by offset-mapped attribution.
 
 A document is encoded once and whole, so tokens are those that a model will see, not those of its sections. A byte-level
-vocabulary gives the length of every token, their running sum its place. Sections are runs of whole lines: each line with its
-line feed, or given fields laid end to end. Tokens meet sections in an interval join on sorted edges; a
+vocabulary gives the length of every token, their running sum its place. Sections are the lines of the text, each with its
+line feed. Tokens meet sections in an interval join on sorted edges; a
 token inside one section counts for it, a token across an edge by the rule: ``first`` to the section of its first
 byte, ``most`` to the one with most of its bytes (the earlier one if equal), ``share`` to all by their part of its bytes.
 
