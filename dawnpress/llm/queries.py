@@ -15,6 +15,7 @@ from dawnpress.llm import (
     packing,
     pii,
     simhash,
+    spelling,
     sql,
     suffix_dedup,
     token_attribution,
@@ -97,3 +98,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
