@@ -14,6 +14,7 @@ from dawnpress.llm import (
     mixing,
     packing,
     pii,
+    projections,
     simhash,
     spelling,
     sql,
@@ -100,6 +101,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
 
+@query
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))

@@ -2,10 +2,12 @@
 
 The letters of every word are hashed to a few symbols. Words that differ by one inserted, deleted or replaced letter have reduced
 words that differ by one such edit or not at all, so each distinct reduced word generates its full one-edit neighbourhood
-over the few symbols, as 64-bit polynomial hashes that one pass over the word gives from the hashes of its prefixes. The
-neighbourhoods are joined with the vocabulary of reduced words, and the words behind reduced words that meet are verified by
-their own edit distance, so neither equal symbols nor equal hashes make two words near. Words are counted before anything else
-is shuffled, so a frequent word is one row; no list of a word's neighbours is kept.
+over the few symbols, as 64-bit polynomial hashes that one pass over the word gives from the hashes of its prefixes (an inserted
+letter is the other word's deleted letter, so only the longer of two words generates). Most of a neighbourhood occurs nowhere: a
+bitmap of fixed size (16 MB, broadcast) rules out hashes that no reduced word has before anything is shuffled; a larger vocabulary
+fills it, which costs time and no result. What is left is joined with the vocabulary of reduced words, and the words behind
+reduced words that meet are verified by their own edit distance, so neither equal symbols nor equal hashes make two words
+near. Words are counted before anything else is shuffled, so a frequent word is one row; no list of a word's neighbours is kept.
 
 Nulls and edges: null and empty texts have no words; a null ``doc_id`` counts as empty text in the hash of a run; rows that repeat an
 id count each; a run of any length is one word, at cost linear in its length; of near words of equal count the
@@ -32,8 +34,8 @@ SYMBOLS = 8
 SEED = 42
 #: A form has ``RATIO`` times the count, so no chain of forms of 64-bit counts is longer than two to this power.
 DOUBLINGS = 5
-#: Places of a word that are changed at once, and hashes sent at once.
-CHUNK, EMITTED = 1 << 12, 1 << 18
+#: Places of a word that are changed at once, hashes generated at once, and bits of the number of a slot of the bitmap.
+CHUNK, EMITTED, SLOT_BITS = 1 << 12, 1 << 18, 27
 
 
 def occurrences(docs: DataFrame, length: int = LENGTH, damage: int = DAMAGE) -> DataFrame:
@@ -64,7 +66,10 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 class Neighbourhood:
-    """Polynomial hashes, modulo two to the 64, of words over the symbols and of all their one-edit neighbours."""
+    """Polynomial hashes, modulo two to the 64, of words over the symbols and of all their one-edit neighbours.
+
+    Of two words the neighbourhood of the longer holds the shorter, so words one letter longer are not generated.
+    """
 
     def __init__(self, symbols: int = SYMBOLS):
         draw = np.random.default_rng(SEED + symbols)
@@ -72,72 +77,92 @@ class Neighbourhood:
         self.values, self.base = odd(symbols), odd(1)[0]
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
 
-    def prefixes(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Values of the symbols of a word, the hashes of its prefixes and the powers of the base."""
-        values = self.values[np.frombuffer(word.encode("ascii"), np.uint8) - np.uint8(ord("a"))]
-        power = powers(len(values), self.base)
-        return values, np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[:-1])]), power
-
-    def own(self, word: str) -> int:
-        return int(self.prefixes(word)[1][-1].view(np.int64))
-
-    def hashes(self, word: str) -> Iterator[np.ndarray]:
-        """The hashes of all words within one edit, itself included, ``CHUNK`` places of the word at a time, distinct in each."""
-        values, before, power = self.prefixes(word)
-        own = before[-1]
-        for a in range(0, len(before), CHUNK):
-            gaps, places = slice(a, a + CHUNK), slice(a, min(a + CHUNK, len(values)))
-            deleted = before[places] + (own - before[1:][places]) * self.inverse
-            replaced = own + (self.values[:, None] - values[places]) * power[places]
-            inserted = before[gaps] + (own - before[gaps]) * self.base + self.values[:, None] * power[gaps]
-            yield np.unique(np.concatenate([deleted, replaced.ravel(), inserted.ravel(), own[None]])).view(np.int64)
+    def prefixes(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For words of one length at a time: their places in the list, the values of their symbols, the hashes of their prefixes
+        and the powers of the base."""
+        lengths = np.array([len(w) for w in words])
+        for n in np.unique(lengths):
+            same, most = np.flatnonzero(lengths == n), max(1, EMITTED // (len(self.values) * max(1, n)))
+            power = powers(n, self.base)
+            for at in np.split(same, range(most, len(same), most)):
+                text = "".join([words[i] for i in at]).encode("ascii")
+                values = self.values[np.frombuffer(text, np.uint8).reshape(len(at), n) - np.uint8(ord("a"))]
+                before = np.zeros((len(at), n + 1), np.uint64)
+                np.cumsum(values * power[:-1], axis=1, out=before[:, 1:])
+                yield at, values, before, power
+
+    def own(self, words: list[str]) -> np.ndarray:
+        found = np.zeros(len(words), np.uint64)
+        for at, _, before, _ in self.prefixes(words):
+            found[at] = before[:, -1]
+        return found
+
+    def hashes(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hashes of words and of those within one edit that are not longer, itself included, a bounded number at a time."""
+        for _, values, before, power in self.prefixes(words):
+            own = before[:, -1:]
+            yield own, own
+            for a in range(0, values.shape[1], CHUNK):
+                places = slice(a, min(a + CHUNK, values.shape[1]))
+                deleted = before[:, places] + (own - before[:, 1:][:, places]) * self.inverse
+                replaced = own[:, :, None] + (self.values[:, None] - values[:, None, places]) * power[places]
+                yield own, np.concatenate([deleted, replaced.reshape(len(own), -1)], axis=1)
+
+
+def slots(hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash in a bitmap of ``1 << SLOT_BITS`` bits."""
+    return (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)
 
 
 def coded_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """``word, n, code, own``: the words with their reduced word and its hash."""
+    """``word, n, code, own, slot``: the words with their reduced word, its hash and the place of that in the bitmap."""
     around = Neighbourhood(symbols)
 
     def run(batch):
-        return {"word": batch.column(0), "n": batch.column(1), "code": batch.column(2), "own": [around.own(c) for c in batch.column(2).to_pylist()]}
+        own = around.own(batch.column(2).to_pylist())
+        return {"word": batch.column(0), "n": batch.column(1), "code": batch.column(2), "own": own.view(np.int64), "slot": slots(own).view(np.int64)}
 
-    return map_batches(words.select("word", "n", reduced(F.col("word"), symbols).alias("code")), run, "word string, n long, code string, own long")
+    coded = words.select("word", "n", reduced(F.col("word"), symbols).alias("code"))
+    return map_batches(coded, run, "word string, n long, code string, own long, slot long", rows=None)
 
 
-def neighbourhoods(codes: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """``own, near`` for ``own, code``: a row for every hash of the neighbourhood of every reduced word."""
-    around, kinds = Neighbourhood(symbols), to_arrow("own long, near long")
+def bitmap(coded: DataFrame) -> np.ndarray:
+    """Which slots have a reduced word: a table of fixed size, whatever the vocabulary."""
+    bits = coded.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(slot & 63)))").alias("bits")).toArrow()
+    held = np.zeros(1 << SLOT_BITS - 6, np.uint64)
+    held[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return held
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, size = [], 0
-            for own, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for near in around.hashes(code):
-                    held.append((own, near))
-                    size += len(near)
-                    if size >= EMITTED:
-                        yield flat(held, kinds)
-                        held, size = [], 0
-            if held:
-                yield flat(held, kinds)
 
-    return codes.select("own", "code").mapInArrow(run, "own long, near long")
+def neighbourhoods(coded: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
+    """``from, to``: hashes of all reduced words and of those in their neighbourhood that a bitmap of the vocabulary does not rule out."""
+    around, kinds = Neighbourhood(symbols), to_arrow("from long, to long")
+    known = coded.sparkSession.sparkContext.broadcast(bitmap(coded))
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = known.value
+        for batch in batches:
+            for own, near in around.hashes(batch.column(0).to_pylist()):
+                at = slots(near)
+                met = (held[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool) & ((near != own) | (near.shape[1] == 1))
+                row, column = np.nonzero(met)
+                yield as_batch({"from": own[row, 0].view(np.int64), "to": near[row, column].view(np.int64)}, kinds)
 
-def flat(held: list[tuple[int, np.ndarray]], kinds: pa.Schema) -> pa.RecordBatch:
-    own = np.repeat(np.array([o for o, _ in held], np.int64), [len(near) for _, near in held])
-    return as_batch({"own": own, "near": np.concatenate([near for _, near in held])}, kinds)
+    return coded.select("code").distinct().mapInArrow(run, "from long, to long")
 
 
 def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """``word, n, other, other_n`` for every ordered pair of ``words`` (``word, n``) that are one edit apart."""
     coded = stored(coded_words(words, symbols))
-    emitted = neighbourhoods(coded.select("own", "code").distinct(), symbols).select(F.col("own").alias("from"), F.col("near").alias("own"))
-    met = emitted.join(coded.select("own").distinct(), "own").select("from", F.col("own").alias("to")).distinct()
+    met = neighbourhoods(coded, symbols).join(coded.select(F.col("own").alias("to")).distinct(), "to").distinct()
     one = coded.select(F.col("own").alias("from"), "word", "n")
     others = coded.select(F.col("own").alias("to"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    near = (F.col("word") != F.col("other")) & (F.abs(F.length("word") - F.length("other")) <= 1)
-    pairs = one.join(met, "from").join(others, "to").where(near)
-    return pairs.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
+    longer = F.length("word") - F.length("other")
+    pairs = one.join(met, "from").join(others, "to").where((F.col("word") != F.col("other")) & longer.isin(0, 1))
+    near = pairs.where(F.levenshtein("word", "other", 1) == 1)
+    pair = lambda *names: F.struct(*[F.col(c).alias(n) for c, n in zip(names, ("word", "n", "other", "other_n"), strict=True)])
+    there, back = pair("word", "n", "other", "other_n"), pair("other", "other_n", "word", "n")
+    return near.select(F.explode(F.when(longer == 0, F.array(there)).otherwise(F.array(there, back))).alias("p")).select("p.*")
 
 
 def roots(forms: DataFrame) -> DataFrame:

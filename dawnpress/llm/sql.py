@@ -105,4 +105,20 @@ walk AS (
 ends AS (SELECT k.word, k.at AS root FROM walk k JOIN formed f ON f.word = k.at WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
 
-ORACLES = {"op13_spelling_variants": SPELLING, "op2_mix_sources": MIX_SOURCES, "op3_block_search": BLOCK_SEARCH}
+NEAR_VECTORS = """
+WITH RECURSIVE listed AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0),
+sound AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM listed
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id, b.vec_id AS other FROM sound a JOIN sound b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+reached AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT r.vec_id, l.other FROM reached r JOIN links l ON l.vec_id = r.other),
+named AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN named USING (vec_id) LEFT JOIN (SELECT vec_id, count(*) AS n FROM links GROUP BY vec_id) USING (vec_id)"""
+
+ORACLES = {"op12_near_vectors": NEAR_VECTORS, "op13_spelling_variants": SPELLING, "op2_mix_sources": MIX_SOURCES, "op3_block_search": BLOCK_SEARCH}

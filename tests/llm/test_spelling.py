@@ -76,13 +76,18 @@ def test_neighbourhoods_hold_every_edit(symbols, monkeypatch):
     draw = random.Random(symbols)
     around = spelling.Neighbourhood(symbols)
     letters = spelling.LOWER[:symbols]
-    for n in range(50):
+    words = ["".join(draw.choice(letters) for _ in range(draw.randrange(2, 12))) for _ in range(60)]
+    for n, some in enumerate((words[:50], words[50:])):
         monkeypatch.setattr(spelling, "CHUNK", 3 if n % 2 else 4096)
-        word = "".join(draw.choice(letters) for _ in range(draw.randrange(2, 12)))
-        others = {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
-        others |= {word[:i] + c + word[i + k :] for i in range(len(word) + 1) for c in letters for k in (0, 1)}
-        found = {h for near in around.hashes(word) for h in near.tolist()}
-        assert found == {around.own(o) for o in others} and len(found) == len(others)
+        found = {}
+        for own, near in around.hashes(some):
+            for o, hashes in zip(own[:, 0].tolist(), near.tolist(), strict=True):
+                found.setdefault(o, set()).update(hashes)
+        for word in some:
+            others = {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+            others |= {word[:i] + c + word[i + 1 :] for i in range(len(word)) for c in letters}
+            assert found[int(around.own([word])[0])] == {int(h) for h in around.own(list(others))}
+    assert around.own([]).size == 0
 
 
 def test_chain_of_forms_leads_to_one_root(spark):
