@@ -21,6 +21,7 @@ from dawnpress.llm import (
     suffix_dedup,
     token_attribution,
     toxicity,
+    turns,
 )
 from dawnpress.llm.common import documents, remainder
 
@@ -101,6 +102,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
 
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query
 def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -105,6 +105,75 @@ walk AS (
 ends AS (SELECT k.word, k.at AS root FROM walk k JOIN formed f ON f.word = k.at WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
 
+def _edit(way: str, cost: int | str, letter: str) -> str:
+    """A way, nine digits of cost and its letters, with one more edit."""
+    return f"(lpad(CAST(CAST({way}[1:9] AS INTEGER) + {cost} AS VARCHAR), 9, '0') || {way}[10:] || '{letter}')"
+
+
+def _turn(state: str, kind: str, sources: list[str]) -> str:
+    """The best way that ends in ``state`` after a turn: deleted, kept or reroled; at most one insert before it can be cheapest."""
+    ways = [_edit(state, 4, "D")]
+    for way in sources:
+        ways.append(f"CASE WHEN fault IN ('w', 't') AND kind = '{kind}' THEN {_edit(way, 'more', 'K')} END")
+        if kind != "s":
+            ways.append(f"CASE WHEN fault IN ('w', 't') THEN {_edit(way, '3 + more', 'R')} END")
+    return f"least({', '.join(ways)})"
+
+
+#: Ways to each state (n none, s system, u user, a assistant) turn by turn; the least string is the cheapest, then the ASCII-least.
+REPAIR = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), i) ORDER BY i) AS t FROM range(256) r(i)),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                        lambda x: CAST(unicode(x) AS BIGINT)),
+                         lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS h
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed JOIN (VALUES (0), (1)) c(copy) ON h <> 0 AND (copy = 0 OR h = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE 'w' END AS fault,
+         substr(role, 1, 1) AS kind, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || kind NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS last
+  FROM faulty GROUP BY conv_id),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000000' AS n, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM placed
+  UNION ALL
+  SELECT conv_id, i, {_turn("n", "-", [])}, {_turn("s", "s", ["n"])}, {_turn("u1", "u", ["n", "s", "a1"])}, {_turn("a1", "a", ["u1"])}
+  FROM (SELECT f.*, w.n, w.s, least(w.u, {_edit("w.n", 3, "I")}, {_edit("w.s", 3, "I")}, {_edit("w.a", 3, "I")}) AS u1,
+               least(w.a, {_edit("w.u", 3, "I")}) AS a1, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS more
+        FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)),
+ended AS (
+  SELECT c.*, least(n, a, {_edit("u", 3, "I")}) AS way FROM counted c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.last),
+letters AS (
+  SELECT conv_id, unnest(string_split(way[10:], '')) AS letter, unnest(range(1, length(way) - 8)) AS pos FROM ended WHERE length(way) > 9),
+read AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i,
+         count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY pos) AS written FROM letters),
+joined AS (
+  SELECT r.conv_id, pos, letter, written, CASE WHEN letter <> 'I' THEN f.text ELSE '' END AS text, f.role,
+         max(CASE WHEN letter = 'K' AND kind = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY r.conv_id) AS shift
+  FROM read r LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (written - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+                             chr(10) ORDER BY pos) AS text
+  FROM joined WHERE letter <> 'D' GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(CAST(way[1:9] AS BIGINT), 0) AS cost, coalesce(way[10:], '') AS audit,
+       sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
 NEAR_VECTORS = """
 WITH RECURSIVE listed AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0),
@@ -121,4 +190,4 @@ named AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN named USING (vec_id) LEFT JOIN (SELECT vec_id, count(*) AS n FROM links GROUP BY vec_id) USING (vec_id)"""
 
-ORACLES = {"op12_near_vectors": NEAR_VECTORS, "op13_spelling_variants": SPELLING, "op2_mix_sources": MIX_SOURCES, "op3_block_search": BLOCK_SEARCH}
+ORACLES = {"op11_turn_repair": REPAIR, "op12_near_vectors": NEAR_VECTORS, "op13_spelling_variants": SPELLING, "op2_mix_sources": MIX_SOURCES, "op3_block_search": BLOCK_SEARCH}
