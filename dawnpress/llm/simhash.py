@@ -16,8 +16,11 @@ smallest non-null id of their component (null if it has none); other columns are
 a bit being one bit of the least hash of its shingles under one of 256 hash functions, so that it differs with probability
 (1 - similarity) / 2. Each short fingerprint is ball-hashed as above (33 variants, 264 a text). Those that meet are compared by all 256
 bits and, if these agree well enough, by their exact similarity. A pair of similarity 0.8 meets with probability 0.974, of
-0.9 with 0.9999. At one variant each is compared with the ``NEIGHBOURS`` before it and the first, so pairs grow with the number of
-texts; only in groups of more than that many a member may stay unlinked if it is similar to few others of its group.
+0.9 with 0.9999. Texts are not paired: each is verified against one other first, and texts so linked are one component. Of every
+component that a variant holds its first member there is the leader. While a variant holds several components, their leaders are
+verified against the first of them, then the first four, and so on, until all leaders that meet have been compared. So in groups
+of copies pairs grow with the number of texts and rounds with its logarithm, whatever the size of a group. A text stays apart
+only if it is similar to no leader in any of its 264 variants.
 Here rows without an id take no part, and rows of one id are one document with several texts.
 """
 
@@ -43,7 +46,6 @@ STAGE_SHINGLE, SIMILARITY = 5, 0.8
 SHORT, SHORT_BITS = 8, 32
 #: Most of the 256 bits that may differ: at similarity 0.8 25.6 do on average with a deviation of 4.8, of unrelated texts 128.
 MOST_BITS = 56
-NEIGHBOURS = 2
 #: Shingles that are hashed by all functions at once.
 HASHED = 1 << 11
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, (SHORT * SHORT_BITS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
@@ -155,20 +157,36 @@ def stage_prints(docs: DataFrame) -> DataFrame:
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
-    """Pairs ``src, dst, bits`` of ``nodes`` (``node, prints``) that meet at a variant of a short fingerprint and agree in most bits."""
+    """``variant, node`` of ``nodes`` (``node, prints``) for every variant of a short fingerprint that several nodes reach."""
     flipped = F.array(*[F.lit(m) for m in masks(1, SHORT_BITS)])
     short = nodes.select("node", F.posexplode("prints").alias("k", "print"))
     keyed = short.select("node", (F.shiftleft(F.col("k").cast("long"), SHORT_BITS) + F.col("print")).alias("key"))
     variants = keyed.select("node", F.explode(F.transform(flipped, lambda m: F.col("key").bitwiseXOR(m))).alias("variant"))
-    at = Window.partitionBy("variant").orderBy("node")
-    before = [F.lag("node", n).over(at).alias(f"_{n}") for n in range(1, NEIGHBOURS + 1)]
-    met = variants.select("node", *before, F.first("node").over(at).alias("_first")).where("_1 IS NOT NULL")
-    others = F.array(*[f"_{n}" for n in range(1, NEIGHBOURS + 1)], "_first")
-    pairs = met.select(F.col("node").alias("src"), F.explode(others).alias("dst")).where("dst < src").distinct()
+    return apart(variants, "node")
+
+
+def apart(groups: DataFrame, name: str) -> DataFrame:
+    """Rows of the variants that hold different values of a column."""
+    at = Window.partitionBy("variant")
+    ends = groups.withColumn("_low", F.min(name).over(at)).withColumn("_high", F.max(name).over(at))
+    return ends.where("_low < _high").drop("_low", "_high")
+
+
+def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``src, dst``) that agree in enough of their 256 bits."""
     prints = lambda end: nodes.select(F.col("node").alias(end), F.col("prints").alias(f"_{end}"))
-    bits = F.zip_with("_src", "_dst", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    near = pairs.join(prints("src"), "src").join(prints("dst"), "dst").withColumn("bits", F.aggregate(bits, F.lit(0), lambda n, x: n + x))
-    return near.where(F.col("bits") <= MOST_BITS).groupBy("src", "dst").agg(F.min("bits").alias("bits"))
+    differ = F.aggregate(F.zip_with("_src", "_dst", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    return pairs.join(prints("src"), "src").join(prints("dst"), "dst").where(differ <= MOST_BITS).select("src", "dst")
+
+
+def led(groups: DataFrame, leaders: int) -> DataFrame:
+    """Distinct ``src, dst``: members of variants (``variant, node, root``) and the first ``leaders`` members of theirs."""
+    at = Window.partitionBy("variant")
+    place = F.row_number().over(at.orderBy("node"))
+    first = F.collect_list(F.when(F.col("place") <= leaders, F.struct(F.col("node").alias("dst"), F.col("root").alias("_root")))).over(at)
+    listed = groups.withColumn("place", place).withColumn("first", first)
+    met = listed.select("node", "root", F.explode("first").alias("l")).select("node", "root", "l.*")
+    return met.where("root <> _root").select(F.greatest("node", "dst").alias("src"), F.least("node", "dst").alias("dst")).distinct()
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -196,18 +214,26 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
     prints = stored(stage_prints(named))
     classes = stored(prints.groupBy("words").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints")))
-    pairs = stored(meetings(classes.select("node", "prints")))
-    # two pairs of each first; of the others only those between texts that these have not linked yet
-    likely = pairs.groupBy("src").agg(F.array_distinct(F.array(F.min("dst"), F.min_by("dst", F.struct("bits", "dst")))).alias("dst"))
-    links = stored(similar_pairs(named, likely.select("src", F.explode("dst").alias("dst")), similarity))
-    roots = stored(components(links))
-    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
-    apart = pairs.join(root("src"), "src", "left").join(root("dst"), "dst", "left").where(~F.coalesce(F.col("_src") == F.col("_dst"), F.lit(False)))
-    rest = apart.select("src", "dst").subtract(likely.select("src", F.explode("dst").alias("dst")))
-    links = stored(links.unionByName(similar_pairs(named, stored(rest), similarity)))
-    roots = components(links)
-    rooted = classes.join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(rooted, "words").select("doc_id", "component_id")
+    nodes = classes.select("node", "prints")
+    groups = stored(meetings(nodes))
+    # one pair of each text first: the least of the first members of all its variants
+    lead = groups.withColumn("dst", F.min("node").over(Window.partitionBy("variant")))
+    pairs = stored(agreeing(lead.where("dst < node").groupBy(F.col("node").alias("src")).agg(F.min("dst").alias("dst")), nodes))
+    tested, links, leaders = pairs, similar_pairs(named, pairs, similarity), 1
+    while True:
+        links = stored(links)
+        roots = stored(components(links))
+        rooted = groups.select("variant", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        groups = stored(apart(rooted.groupBy("variant", "root").agg(F.min("node").alias("node")), "root"))
+        if groups.isEmpty():
+            break
+        pairs = stored(agreeing(led(groups, leaders).join(tested, ["src", "dst"], "left_anti"), nodes))
+        tested, links = tested.unionByName(pairs), links.unionByName(similar_pairs(named, pairs, similarity))
+        size = F.count(F.lit(1)).over(Window.partitionBy("variant"))
+        groups = groups.withColumn("_size", size).where(F.col("_size") > leaders).drop("_size")
+        leaders *= 4
+    joined = classes.join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("component_id"))
+    return prints.join(joined, "words").select("doc_id", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):
