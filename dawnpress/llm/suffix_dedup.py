@@ -20,8 +20,9 @@ marked, and its windows travel one by one under their own hash, again one per ba
 documents costs some rows per batch, not per document. Suffixes are compared by 64-bit polynomial hashes under the hash of
 their owner, together 128 bits.
 
-Nulls and edges: null and empty texts have nothing to remove; a null ``doc_id`` counts as the smallest; strings at the same place of rows that repeat
-an ``doc_id`` are not earlier than one another, so identical rows get identical results; texts of any length are read in
+Nulls and edges: null and empty texts have nothing to remove; rows with a null ``doc_id`` come before all others, in the order of a hash of
+their texts; strings at the same place of different texts that repeat a ``doc_id`` are not earlier than one another (texts of one id are told apart
+by 31 bits of a hash); identical rows get identical results; texts of any length are read in
 segments; other columns are ignored; an empty table gives no rows.
 """
 
@@ -42,8 +43,9 @@ GRAM = 28
 SENT = 16
 SEGMENT = 1 << 18
 BUFFER = 1 << 20
-#: Bits of a place that tell texts with the same id apart.
-TAG = 24
+#: Bits of a place that tell texts with the same id apart; the others hold a start below 4 GB.
+TAG = 31
+#: Rows without an id are told apart by 62 bits of their hash from here on.
 NULL_ID = -(1 << 63)
 #: Bytes of fetched stretches, and rows of stretches, for one task.
 TASK_BYTES, TASK_ROWS = 8 << 20, 1_000_000
@@ -365,10 +367,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     if not 0 < gram < length:
         raise ValueError("grams must be shorter than the strings sought")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc_id = F.col("doc_id").cast("long")
-    tag = F.xxhash64(text.cast("binary")).bitwiseAND((1 << TAG) - 1)
+    doc_id, hashed = F.col("doc_id").cast("long"), F.xxhash64(text.cast("binary"))
+    tag, unnamed = hashed.bitwiseAND((1 << TAG) - 1), F.lit(NULL_ID) + hashed.bitwiseAND((1 << 62) - 1)
     rows = docs.select(
-        doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("_doc"), tag.alias("_tag"), text.cast("binary").alias("text")
+        doc_id.alias("doc_id"), F.coalesce(doc_id, unnamed).alias("_doc"), tag.alias("_tag"), text.cast("binary").alias("text")
     )
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     compared = compare_stretches(find_stretches(rows, length, gram), partitions_for(docs, size // 30, TASK_ROWS))
