@@ -26,15 +26,26 @@ from dawnpress.llm.common import map_batches
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
-#: Upper limit of the bytes of a text, lowest and highest ratio allowed below it.
+#: Upper limit of the bytes of a text, lowest and highest ratio allowed below it. The lowest follow the ratio of base64
+#: with line breaks (1.06 at 256 bytes, 1.19 at 512, 1.26 at 1,024, 1.29 at 2,048, 1.31 at 4,096) closely from above.
 BANDS = (
     (256, 0.60, 3.0),
-    (1024, 1.30, 4.0),
-    (4096, 1.50, 5.0),
+    (320, 1.12, 4.0),
+    (448, 1.17, 4.0),
+    (640, 1.22, 4.0),
+    (1024, 1.27, 4.0),
+    (2048, 1.30, 5.0),
+    (4096, 1.33, 5.0),
     (16384, 1.35, 6.0),
     (65536, 1.40, 7.0),
     (float("inf"), 1.40, 8.0),
 )
+#: The same for texts of at least ``WIDE`` bytes a character, so of scripts other than Latin: short prose of thousands of signs hardly
+#: repeats, and encodings such as base64 are not of this kind.
+WIDE = 1.5
+WIDE_BANDS = ((1024, 0.60, 4.0), (4096, 1.05, 5.0), (16384, 1.15, 6.0), (65536, 1.25, 7.0), (float("inf"), 1.25, 8.0))
+#: Bytes of UTF-8 that begin no character.
+CONTINUED = bytes(range(0x80, 0xC0))
 CHUNK = 4096
 #: Share of the bytes in chunks outside their band above which a text is rejected.
 CHUNK_SHARE = 0.25
@@ -88,8 +99,10 @@ def ratio(raw: bytes, packer: zstandard.ZstdCompressor) -> float:
     return len(raw) / len(packer.compress(raw)) if raw else 1.0
 
 
-def in_band(n: int, value: float) -> bool:
-    low, high = next((low, high) for most, low, high in BANDS if n < most)
+def in_band(raw: bytes, value: float, most: int) -> bool:
+    """Whether a ratio is allowed for bytes of this script, at their length or just below ``most``."""
+    bands = WIDE_BANDS if len(raw) >= WIDE * len(raw.translate(None, CONTINUED)) and raw else BANDS
+    low, high = next((low, high) for end, low, high in bands if min(len(raw), most) < end)
     return low <= value <= high
 
 
@@ -98,8 +111,8 @@ def verdict(raw: bytes | None, packer: zstandard.ZstdCompressor) -> tuple[float,
     raw = raw or b""
     whole = ratio(raw, packer)
     chunks = [raw[k : k + CHUNK] for k in range(0, len(raw), CHUNK)]
-    outside = sum(len(x) for x in chunks if not in_band(min(len(x), CHUNK - 1), ratio(x, packer))) / len(raw) if raw else 0.0
-    return whole, outside, in_band(len(raw), whole) and outside <= CHUNK_SHARE
+    outside = sum(len(x) for x in chunks if not in_band(x, ratio(x, packer), CHUNK - 1)) / len(raw) if raw else 0.0
+    return whole, outside, in_band(raw, whole, len(raw)) and outside <= CHUNK_SHARE
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -118,27 +118,29 @@ def train(docs: DataFrame) -> list[Callable[[], Model]]:
     known = docs.where("lang IS NOT NULL").select("doc_id", "text", "lang")
     seen, n = document_frequencies(known)
     idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
-    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(DRAWS)).alias("draw"))
-    sizes = stored(ids.groupBy("lang").count())
-    by_draw = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    # texts are drawn by the hash of id and text, so neither null nor repeated ids matter, and equal rows are one draw
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(DRAWS)).alias("draw")
+    sizes = stored(known.groupBy("lang").count())
     # draws below four times the sample's share: no task ranks more than some thousand rows of a language of any size
-    low = ids.join(F.broadcast(sizes), "lang").where(F.col("draw") < F.lit(4.0 * SAMPLE * DRAWS) / F.col("count"))
-    drawn = low.withColumn("nth", F.row_number().over(by_draw)).where(F.col("nth") <= SAMPLE).select("doc_id", "lang").distinct()
-    few = sizes.count() <= LANGUAGES  # then the sample has at most LANGUAGES * SAMPLE rows
-    sample = known.join(F.broadcast(drawn) if few else drawn, ["doc_id", "lang"], "left_semi")
+    low = known.select("text", "lang", draw).join(sizes, "lang").where(F.col("draw") < F.lit(4.0 * SAMPLE * DRAWS) / F.col("count"))
+    by_draw = Window.partitionBy("lang").orderBy("draw", "text")
+    sample = low.select("lang", "text", "draw").distinct().withColumn("nth", F.row_number().over(by_draw)).where(F.col("nth") <= SAMPLE)
+
+    def points_of(batch):
+        texts = [(lang, t) for lang, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t and has_letter(t)]
+        return {"lang": [lang for lang, _ in texts], "point": list(vectors([t for _, t in texts], idf)) if texts else []}
+
+    drawn = map_batches(sample.select("lang", "text"), points_of, "lang string, point array<float>", rows=ROWS)
 
     def fit(key, frame):
-        texts = [t for t in frame["text"] if t and has_letter(t)][:SAMPLE]
         import pandas as pd
 
-        if not texts:
-            return pd.DataFrame({"lang": [], "centroid": [], "cosine": []})
-        points = vectors(texts, idf)
+        points = np.stack(frame["point"].to_list())
         centroids = spherical_kmeans(points, CENTROIDS)
         limit = float(np.quantile((points @ centroids.T).max(axis=1), OUTLIERS))
         return pd.DataFrame({"lang": key[0], "centroid": [c.tobytes() for c in centroids.astype(np.float32)], "cosine": limit})
 
-    fitted = stored(sample.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, cosine double"))
+    fitted = stored(drawn.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, cosine double"))
     names = sorted(r["lang"] for r in fitted.select("lang").distinct().collect())
 
     def block(first: str, last: str) -> Model:

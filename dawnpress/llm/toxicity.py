@@ -49,7 +49,8 @@ DISGUISES = bytes.maketrans(b"013457@$!", b"oieastasi")
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CAPITALS = bytes(range(65, 91))
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
-MIXED = re.compile(rb"[a-z]+[0-9@$!*]+[a-z][a-z0-9@$!*]*")
+#: Starts only at the first letter of a run and never gives letters back, so a run of any length is read once.
+MIXED = re.compile(rb"(?<![a-z])[a-z]++[0-9@$!*]+[a-z][a-z0-9@$!*]*")
 FEATURES = (
     "lexicon_density lexicon_hits lexicon_kinds lexicon_strongest lexicon_mean insult_density insult_hits nearness person_density capitals "
     "punctuation exclamations drawn_out disguised disguised_hits length"

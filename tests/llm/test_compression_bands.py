@@ -60,7 +60,8 @@ def test_rows(spark):
 
 @pytest.mark.parametrize("n, low_fails, high_fails", [(2000, 1.0, 9.0), (200_000, 1.2, 20.0)])
 def test_bands_follow_length(n, low_fails, high_fails):
-    assert not bands.in_band(n, low_fails) and not bands.in_band(n, high_fails) and bands.in_band(n, 2.2)
+    raw = b"a" * n
+    assert not bands.in_band(raw, low_fails, n) and not bands.in_band(raw, high_fails, n) and bands.in_band(raw, 2.2, n)
 
 
 def base64_lines(n, line=76, seed=4):
@@ -90,3 +91,42 @@ def test_the_last_chunk_is_judged():
     packer = zstandard.ZstdCompressor(level=3)
     text = prose(2000)[:4096] + base64_lines(4000)
     assert abs(bands.verdict(text.encode(), packer)[1] - 4000 / 8096) < 1e-9
+
+
+#: Plain prose of seven scripts.
+PROSE = [
+    "春天来了，山上的雪慢慢化开，小河又有了水声。村里的人一早就下地干活，孩子们背着书包走过石桥去学校。老人坐在门前晒太阳，说起从前的事情："
+    "那时没有公路，买盐要走一整天。如今卡车每周来两次，带来布匹、书信和城里的消息。到了晚上，家家点起灯，饭菜的香味飘满小巷，大家围坐一起，谈论收成和天气，"
+    "直到月亮升上屋顶。第二天清晨，雾还没有散去，渔夫已经把船推下水，远处传来寺里的钟声。",
+    "Весной снег на склонах тает, и ручьи снова шумят под мостом. Утром люди выходят в поле, дети с сумками идут в школу, а старики сидят у дверей и "
+    "вспоминают прежние годы. Тогда дороги не было, и за солью шли целый день. Теперь дважды в неделю приезжает грузовик с письмами, тканью и новостями из города. "
+    "Вечером в домах зажигают лампы, и соседи долго говорят о погоде и урожае.",
+    "في الربيع يذوب الثلج على سفوح الجبال وتعود المياه إلى النهر الصغير قرب القرية. يخرج الناس باكرا إلى الحقول ويمشي الأطفال إلى المدرسة فوق الجسر القديم، "
+    "بينما يجلس الشيوخ أمام البيوت ويتذكرون الأيام التي لم يكن فيها طريق ولا سيارة، وكان شراء الملح يستغرق يوما كاملا من السير بين التلال.",
+    "वसंत में पहाड़ों की बर्फ पिघलती है और छोटी नदी में फिर पानी बहने लगता है। सुबह लोग खेतों में काम करने जाते हैं, बच्चे पुराने पुल से होकर स्कूल पहुँचते हैं और बूढ़े "
+    "दरवाज़े पर बैठकर बीते दिनों की बातें करते हैं, जब नमक लाने के लिए पूरा दिन चलना पड़ता था।",
+    "Στην άνοιξη το χιόνι λιώνει στις πλαγιές και το ρυάκι κάτω από τη γέφυρα ακούγεται ξανά. Οι άνθρωποι πηγαίνουν νωρίς στα χωράφια, τα παιδιά περπατούν ως το σχολείο "
+    "και οι γέροντες κάθονται μπροστά στις πόρτες και θυμούνται τα παλιά χρόνια, όταν δεν υπήρχε δρόμος.",
+    "In spring the snow melts on the slopes and the brook below the bridge is heard again. People leave early for the fields, children walk to school with their bags, and "
+    "old men sit by their doors and recall the years when there was no road and a trip for salt took a whole day. Twice a week a truck now brings cloth, letters and news.",
+    "Im Frühjahr schmilzt der Schnee an den Hängen, und man hört wieder den Bach unter der Brücke. Früh gehen die Leute auf die Felder, Kinder laufen mit ihren Taschen zur "
+    "Schule, und Alte sitzen vor den Türen und erzählen, wie es früher war, als noch keine Straße ins Dorf führte und man für Salz einen Tag lang wandern musste.",
+]
+
+
+@pytest.mark.parametrize("prose", PROSE)
+def test_prose_of_any_script_passes(prose):
+    packer, raw = zstandard.ZstdCompressor(level=bands.LEVEL), prose.encode()
+    assert all(bands.verdict(raw[:n], packer)[2] for n in range(200, len(raw) + 1))
+
+
+@pytest.mark.parametrize("size", [256, 300, 450, 640, 1000, 2000, 4000, 4500, 20000])
+def test_base64_does_not(size):
+    import base64
+    import random
+
+    packer = zstandard.ZstdCompressor(level=bands.LEVEL)
+    for seed, width in enumerate((20, 60, 76)):
+        code = base64.b64encode(random.Random(seed).randbytes(size))
+        text = b"\n".join(code[i : i + width] for i in range(0, len(code), width))[:size]
+        assert not bands.verdict(text, packer)[2]

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -51,3 +53,13 @@ def test_every_language_is_learned_in_blocks(spark, sf, monkeypatch):
     blocks = found()
     assert {k: v[::2] for k, v in blocks.items()} == {k: v[::2] for k, v in whole.items()}
     assert all(abs(blocks[k][1] - v[1]) < 2e-4 for k, v in whole.items())
+
+
+def test_null_and_repeated_ids_teach_a_language(spark):
+    draw = random.Random(3)
+    words = {"en": "the and of house water river mountain".split(), "de": "der und von haus wasser fluss berge".split()}
+    rows = [(7 if lang == "de" else None, " ".join(draw.choices(some, k=30)), lang) for lang, some in words.items() for _ in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(docs, language.train(docs))
+    got = sorted((r.lang_pred, r.doc_id or 0) for r in found.collect())
+    assert got == sorted([("de", 7)] * 40 + [("en", 0)] * 40)

@@ -56,3 +56,11 @@ def test_features():
 def test_lexicon():
     lexicon = toxicity.Lexicon({b"loser": 2.0, b"zork*": 3.0})
     assert lexicon.hits([b"a", b"loser", b"zorking", b"zor"]) == ([1, 2], [2.0, 3.0])
+
+
+def test_a_run_of_letters_is_read_once():
+    import time
+
+    start = time.time()
+    assert toxicity.MIXED.findall(b"a" * 1_000_000 + b"1 " + b"b1" * 300_000 + b"c d0g x" + b"1" * 300_000) == [b"b1" * 300_000 + b"c", b"d0g"]
+    assert time.time() - start < 2
