@@ -18,7 +18,7 @@ a bit being one bit of the least hash of its shingles under one of 256 hash func
 bits and, if these agree well enough, by their exact similarity. A pair of similarity 0.8 meets with probability 0.974, of
 0.9 with 0.9999. Texts are not paired: each is verified against one other first, and texts so linked are one component. Of every
 component that a variant holds its first member there is the leader. While a variant holds several components, their leaders are
-verified against the first of them, then the first four, and so on, until all leaders that meet have been compared. So in groups
+verified against the first of them, then the first eight, and so on, until all leaders that meet have been compared. So in groups
 of copies pairs grow with the number of texts and rounds with its logarithm, whatever the size of a group. A text stays apart
 only if it is similar to no leader in any of its 264 variants.
 Here rows without an id take no part, and rows of one id are one document with several texts.
@@ -184,9 +184,11 @@ def led(groups: DataFrame, leaders: int) -> DataFrame:
     at = Window.partitionBy("variant")
     place = F.row_number().over(at.orderBy("node"))
     first = F.collect_list(F.when(F.col("place") <= leaders, F.struct(F.col("node").alias("dst"), F.col("root").alias("_root")))).over(at)
-    listed = groups.withColumn("place", place).withColumn("first", first)
-    met = listed.select("node", "root", F.explode("first").alias("l")).select("node", "root", "l.*")
-    return met.where("root <> _root").select(F.greatest("node", "dst").alias("src"), F.least("node", "dst").alias("dst")).distinct()
+    # each pair is named by its later member, and members that meet share many variants: rows are made distinct before they are paired
+    listed = groups.withColumn("place", place).withColumn("_first", first)
+    earlier = F.transform(F.filter("_first", lambda l: (l["dst"] < F.col("node")) & (l["_root"] != F.col("root"))), lambda l: l["dst"])
+    met = listed.select(F.col("node").alias("src"), earlier.alias("_dst")).where(F.size("_dst") > 0).distinct()
+    return met.select("src", F.explode("_dst").alias("dst")).distinct()
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -231,7 +233,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         tested, links = tested.unionByName(pairs), links.unionByName(similar_pairs(named, pairs, similarity))
         size = F.count(F.lit(1)).over(Window.partitionBy("variant"))
         groups = groups.withColumn("_size", size).where(F.col("_size") > leaders).drop("_size")
-        leaders *= 4
+        leaders *= 8
     joined = classes.join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("component_id"))
     return prints.join(joined, "words").select("doc_id", "component_id")
 
