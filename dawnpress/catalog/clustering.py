@@ -61,8 +61,7 @@ comp AS (SELECT node AS item_id, min(root) AS component FROM reach GROUP BY node
 )
 def _components(spark, sf):
     rows = items(spark, sf)
-    pairs = K.shared_entity_pairs(K.headline_entities(rows), total=rows.count())
-    return connected_components(pairs.select(C("a").alias("src"), C("b").alias("dst")), rows)
+    return connected_components(K.shared_entity_links(K.headline_entities(rows), total=rows.count()), rows)
 
 
 @query(
@@ -218,12 +217,10 @@ edf AS (SELECT e, count(*) AS df FROM (SELECT unnest(ents) AS e FROM feat) GROUP
 gdf AS (SELECT g FROM (SELECT unnest(grams) AS g FROM feat) GROUP BY g HAVING ln(((SELECT count(*) FROM articles) + 1) / (count(*) + 1)::DOUBLE) + 1 >= 5.2),
 el AS (SELECT cluster_id, item_id, e FROM (SELECT item_id, unnest(ents) AS e FROM feat) JOIN edf USING (e) JOIN halves USING (item_id)),
 gl AS (SELECT cluster_id, item_id, g FROM (SELECT item_id, unnest(grams) AS g FROM feat) JOIN gdf USING (g) JOIN halves USING (item_id)),
-ep AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM el a JOIN el b USING (cluster_id, e) WHERE a.item_id < b.item_id),
-gp AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM gl a JOIN gl b USING (cluster_id, g) WHERE a.item_id < b.item_id),
-es AS (SELECT ep.a, ep.b, count(*) AS n FROM ep JOIN el x ON x.item_id = ep.a JOIN el y ON y.item_id = ep.b AND y.e = x.e GROUP BY ALL),
+es AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS n FROM el a JOIN el b ON a.cluster_id = b.cluster_id AND a.e = b.e AND a.item_id < b.item_id GROUP BY 1, 2),
 ec AS (SELECT a, b FROM es JOIN feat fa ON fa.item_id = a JOIN feat fb ON fb.item_id = b
   WHERE n >= CASE WHEN fa.category = 'politics' OR fb.category = 'politics' THEN 3 ELSE 2 END),
-gc AS (SELECT gp.a, gp.b FROM gp JOIN gl x ON x.item_id = gp.a JOIN gl y ON y.item_id = gp.b AND y.g = x.g GROUP BY ALL HAVING count(*) >= 2),
+gc AS (SELECT a.item_id AS a, b.item_id AS b FROM gl a JOIN gl b ON a.cluster_id = b.cluster_id AND a.g = b.g AND a.item_id < b.item_id GROUP BY 1, 2 HAVING count(*) >= 2),
 gated AS (SELECT p.a AS src, p.b AS dst FROM (SELECT * FROM ec UNION SELECT * FROM gc) p JOIN av va ON va.item_id = p.a JOIN av vb ON vb.item_id = p.b
   WHERE list_dot_product(va.vec, vb.vec) >= -0.1)"""
 

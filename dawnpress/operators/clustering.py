@@ -18,12 +18,10 @@ from dawnpress.functions import vectors as V
 from dawnpress.functions import wordlists as W
 from dawnpress.operators.frames import first_per_key, top_per_key
 from dawnpress.operators.graph import connected_components, sized_components
+from dawnpress.operators.overlap import linked_by_terms, sharing_pairs
 from dawnpress.operators.retrieval import _tiles
 from dawnpress.session import cut_lineage
 
-#: Items of a bucket that are paired in one task.
-BLOCK_ROWS = 1024
-
 # --- document frequencies and vectors --------------------------------------------------------------------------------
 
 
@@ -124,34 +122,25 @@ def rare_terms(rows: DataFrame, total: int | Column, min_idf: float, term: str =
     return df.where((F.col("df") >= 2) & (N.inverse_frequency(documents, F.col("df")) >= min_idf)).select(term)
 
 
-def bucket_pairs(rows: DataFrame, keys: Sequence[str], block: int = BLOCK_ROWS) -> DataFrame:
-    """All pairs ``a < b`` of items in the same bucket, with the bucket's keys.
-
-    A bucket of more than ``block`` items is dealt to blocks, and every two blocks are joined in a task of their own, so no
-    bucket is too large for a task and none is left out.
-    """
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64("item_id"), F.col("_blocks")).cast("int")
-    dealt = rows.join(sizes.where("_blocks > 0"), list(keys)).withColumn("_own", own)
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    placed = dealt.select(*keys, "item_id", "_own", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"))
-    left = placed.select(*keys, "_low", "_high", F.col("item_id").alias("a"), F.col("_own").alias("_from"))
-    right = placed.select(*keys, "_low", "_high", F.col("item_id").alias("b"), F.col("_own").alias("_to"))
-    met = left.join(right, [*keys, "_low", "_high"]).where("a < b AND (_low = _high OR _from <> _to)")
-    return met.select(*keys, "a", "b")
-
-
-def shared_entity_pairs(entities: DataFrame, min_idf: float = 4.5, min_shared: int = 2, total: int | None = None) -> DataFrame:
-    """Item pairs that share at least ``min_shared`` rare entities.
+def rare_entities(entities: DataFrame, min_idf: float = 4.5, total: int | None = None) -> DataFrame:
+    """Distinct (item_id, entity) rows of rare entities.
 
     An entity is rare if its inverse frequency among ``total`` items (those with entities, if not given) reaches ``min_idf``:
     4.5 is some three in a hundred items, in a corpus of any size.
     """
     once = entities.select("item_id", "entity").distinct()
     documents = once.select("item_id").distinct().count() if total is None else total
-    kept = once.join(rare_terms(once, documents, min_idf), "entity")
-    pairs = bucket_pairs(kept, ["entity"])
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
+    return once.join(rare_terms(once, documents, min_idf), "entity").select("item_id", "entity")
+
+
+def shared_entity_pairs(entities: DataFrame, min_idf: float = 4.5, min_shared: int = 2, total: int | None = None) -> DataFrame:
+    """Item pairs ``a < b`` that share at least ``min_shared`` rare entities, and how many they share."""
+    return sharing_pairs(rare_entities(entities, min_idf, total), min_shared, term="entity")
+
+
+def shared_entity_links(entities: DataFrame, min_idf: float = 4.5, min_shared: int = 2, total: int | None = None) -> DataFrame:
+    """(src, dst) with the components of ``shared_entity_pairs``, in rows that grow with the items and not with their pairs."""
+    return linked_by_terms(rare_entities(entities, min_idf, total), min_shared, term="entity")
 
 
 def headline_entities(items: DataFrame, raw: str = "raw_headline") -> DataFrame:
@@ -160,8 +149,7 @@ def headline_entities(items: DataFrame, raw: str = "raw_headline") -> DataFrame:
 
 def entity_graph_clusters(items: DataFrame, min_size: int = 3, **limits: float) -> DataFrame:
     """Event clusters: components of the shared-rare-entity graph, as (cluster_id, item_id, size)."""
-    pairs = shared_entity_pairs(headline_entities(items), total=items.count(), **limits)
-    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    edges = cut_lineage(shared_entity_links(headline_entities(items), total=items.count(), **limits))
     linked = edges.select(F.col("src").alias("item_id")).unionByName(edges.select(F.col("dst").alias("item_id")))
     labelled = connected_components(edges, linked if min_size > 1 else items)
     return sized_components(labelled, min_size).withColumnRenamed("component", "cluster_id")
@@ -184,8 +172,8 @@ def gated_pairs(
     """Pairs inside a cluster that may stay together: similar vectors and shared rare entities or n-grams.
 
     ``features`` is (item_id, vec, category, entities, ngrams), ``frequency`` (entity, df) among ``total`` items (the number of
-    ``features``, if not given). Every entity whose inverse frequency reaches ``entity_idf`` and every n-gram of ``features``
-    proposes pairs and counts as shared; vectors are fetched only for pairs that share enough.
+    ``features``, if not given). Entities whose inverse frequency reaches ``entity_idf`` and n-grams of ``features`` count as shared;
+    of each item's only the rarest propose pairs (``overlap``). Vectors are fetched only for pairs that share enough.
     """
     total = features.count() if total is None else total
     rare = frequency.where(N.inverse_frequency(F.lit(total), F.col("df")) >= entity_idf).select("entity")
@@ -193,11 +181,9 @@ def gated_pairs(
     ent = located.select("cluster_id", "item_id", F.explode(F.array_distinct("entities")).alias("entity")).join(rare, "entity", "left_semi")
     grams = located.select("cluster_id", "item_id", F.explode(F.array_distinct("ngrams")).alias("term"))
 
-    def shared(rows: DataFrame, name: str) -> DataFrame:
-        return bucket_pairs(rows, ["cluster_id", "term"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
-
-    by_entity = shared(ent.withColumnRenamed("entity", "term"), "_e")
-    pairs = by_entity.join(shared(grams, "_g"), ["a", "b"], "full")
+    by_entity = sharing_pairs(ent.withColumnRenamed("entity", "term"), min_entities, ["cluster_id"]).withColumnRenamed("shared", "_e")
+    by_gram = sharing_pairs(grams, min_ngrams, ["cluster_id"]).withColumnRenamed("shared", "_g")
+    pairs = by_entity.join(by_gram, ["a", "b"], "full")
     kinds = features.select("item_id", "category")
     pairs = pairs.join(kinds.select(F.col("item_id").alias("a"), F.col("category").alias("_ca")), "a")
     pairs = pairs.join(kinds.select(F.col("item_id").alias("b"), F.col("category").alias("_cb")), "b")
@@ -310,15 +296,20 @@ def pairs_above(vectors: DataFrame, key: str, threshold: float, tile: int = 2048
 def merge_clusters(
     members: DataFrame, vectors: DataFrame, entities: DataFrame, merge_sim: float = 0.85, min_shared: int = 1
 ) -> DataFrame:
-    """Join clusters with near centroids that share entities; the smallest cluster id names the result."""
+    """Join clusters with near centroids that share entities; the smallest cluster id names the result.
+
+    Pairs are proposed by shared entities and only theirs are multiplied. Without a condition on entities (``min_shared`` 0) all
+    centroids are, tile by tile.
+    """
     centre = cut_lineage(centroids(members, vectors).select("cluster_id", F.col("centroid").alias("vec")))
-    pairs = pairs_above(centre, "cluster_id", merge_sim)
     if min_shared > 0:
-        sets = members.join(entities, "item_id").select("cluster_id", "entity").distinct()
-        left = sets.select(F.col("cluster_id").alias("src"), "entity")
-        right = sets.select(F.col("cluster_id").alias("dst"), "entity")
-        shared = pairs.join(left, "src").join(right, ["dst", "entity"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-        pairs = shared.where(F.col("n") >= min_shared)
+        sets = members.join(entities, "item_id").select(F.col("cluster_id").alias("item_id"), "entity")
+        proposed = sharing_pairs(sets, min_shared, term="entity").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        side = lambda end: centre.select(F.col("cluster_id").alias(end), F.col("vec").alias(f"_{end}"))
+        both = proposed.join(side("src"), "src").join(side("dst"), "dst")
+        pairs = both.where(F.round(V.dot(F.col("_src"), F.col("_dst")), 12) >= merge_sim)
+    else:
+        pairs = pairs_above(centre, "cluster_id", merge_sim)
     groups = connected_components(pairs.select("src", "dst"), members, "cluster_id", "merged")
     return members.join(groups, "cluster_id").select(F.col("merged").alias("cluster_id"), "item_id").distinct()
 
