@@ -205,7 +205,7 @@ SQL_CATEGORY = (
 )
 SQL_STRICT = (
     f"list_filter({SQL_SPANS.replace('(text,', '(headline,')}, lambda s: length(s) >= 3 AND NOT list_has_any(string_split(s, ' '), "
-    f"{words([*W.CLUSTER_STOPWORDS, *W.STORY_BAD_TOKENS])}))"
+    f"{words([*W.CLUSTER_STOPWORDS, *W.STORY_BAD_TOKENS, *W.STORY_BAD_PARTS])}))"
 )
 GATED = f"""
 halves AS (SELECT item_id, CAST(topic_id // 10 AS BIGINT) AS cluster_id FROM articles),

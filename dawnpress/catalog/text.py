@@ -325,7 +325,7 @@ SQL_SPANS = (
 WITH s AS (SELECT doc_id, unnest({SQL_SPANS}) AS entity FROM documents)
 SELECT entity, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM s
 WHERE length(entity) >= 3
-  AND NOT list_has_any(string_split(entity, ' '), {words([*W.CLUSTER_STOPWORDS, *W.STORY_BAD_TOKENS])})
+  AND NOT list_has_any(string_split(entity, ' '), {words([*W.CLUSTER_STOPWORDS, *W.STORY_BAD_TOKENS, *W.STORY_BAD_PARTS])})
 GROUP BY entity""",
 )
 def _entities_strict(spark, sf):

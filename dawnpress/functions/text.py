@@ -195,7 +195,7 @@ def capitalised_spans(raw: Column) -> Column:
 
 def entities_strict(raw: Column, bad: Sequence[str] | None = None) -> Column:
     """Spans without any stop or bad word; duplicates stay."""
-    banned = words_in(bad if bad is not None else [*W.CLUSTER_STOPWORDS, *W.STORY_BAD_TOKENS])
+    banned = words_in(bad if bad is not None else [*W.CLUSTER_STOPWORDS, *W.STORY_BAD_TOKENS, *W.STORY_BAD_PARTS])
     return F.filter(
         capitalised_spans(raw), lambda s: (F.length(s) >= 3) & ~F.arrays_overlap(F.split(s, " +"), banned)
     )
