@@ -13,6 +13,7 @@ from dawnpress.functions import wordlists as W
 from dawnpress.operators import clustering as K
 from dawnpress.operators import labels as L
 from dawnpress.operators.graph import connected_components, sized_components
+from dawnpress.operators.spherical import spherical_kmeans
 from dawnpress.sources import fixtures as X
 
 C = F.col
@@ -383,9 +384,32 @@ def _random_index_vectors(spark, sf):
     )
 
 
-@query("spherical_kmeans")
+def sql_kmeans(k: int, iterations: int, seed: int = 1337, dim: int = 64) -> str:
+    """The rounds one after another over (item_id, vec) of ``av``; a round that moves few leaves the centres as they are."""
+    sums = f"SELECT cluster, d, sum(CAST(round(u[d] * 4294967296) AS BIGINT))::DOUBLE AS s FROM {{a}} JOIN un USING (item_id), (SELECT unnest(range(1, {dim + 1})) AS d) GROUP BY ALL"
+    parts = [
+        "un AS MATERIALIZED (SELECT item_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS u FROM av WHERE list_dot_product(vec, vec) > 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, item_id) - 1 AS cluster, u AS c FROM"
+        f" (SELECT *, md5('{seed}|' || item_id) AS h FROM un) ORDER BY h, item_id LIMIT {k})",
+        "a0 AS (SELECT item_id, -1::BIGINT AS cluster FROM un)",
+    ]
+    for i in range(1, iterations + 1):
+        parts += [
+            f"a{i} AS MATERIALIZED (SELECT item_id, arg_min(cluster, (-round(list_dot_product(u, c), 9), cluster)) AS cluster FROM un, c{i - 1} GROUP BY item_id)",
+            f"m{i} AS MATERIALIZED (SELECT count(*) FILTER (a.cluster <> p.cluster) <= greatest(1, floor(0.01 * count(*))) AS done FROM a{i} a JOIN a{i - 1} p USING (item_id))",
+            f"s{i} AS (SELECT cluster, list(s ORDER BY d) AS s FROM ({sums.format(a=f'a{i}')}) GROUP BY cluster)",
+            f"c{i} AS MATERIALIZED (SELECT cluster, CASE WHEN done OR s IS NULL OR list_dot_product(s, s) = 0 THEN c ELSE list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) END AS c"
+            f" FROM c{i - 1} LEFT JOIN s{i} USING (cluster), m{i})",
+        ]
+    return ",\n".join(parts)
+
+
+@query(
+    "spherical_kmeans",
+    with_tables(" SELECT CAST(cluster AS INTEGER) AS cluster_id, item_id FROM a18", ARTICLES, MEMBERS, sql_kmeans(20, 18)),
+)
 def _spherical_kmeans(spark, sf):
-    return K.spherical_kmeans(vectors(spark, sf), k=20)
+    return spherical_kmeans(vectors(spark, sf), k=20)
 
 
 @query("story_clusters")

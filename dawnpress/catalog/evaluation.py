@@ -219,11 +219,24 @@ def _training_rows(spark, sf):
     )
 
 
+def scored_heads(spark, sf):
+    """All interactions, scored by heads that have seen four fifths of the sessions."""
+    targets = {f"target_{n}": c for n, c in _targets().items()}
+    rows = X.interactions(spark, sf).withColumns(targets | {"held_out": M.held_out(C("session_id"))})
+    models = M.fit_heads(rows.where(~C("held_out")), ["topic_id", "vibe_id", "topic_cluster_id", "user_type"], ["recency_bucket", "step"])
+    return M.score_heads(rows, models)
+
+
 @query("six_head_scores")
 def _six_head_scores(spark, sf):
-    rows = X.interactions(spark, sf).withColumns({f"target_{n}": c for n, c in _targets().items()})
-    models = M.fit_heads(rows, ["topic_id", "vibe_id", "topic_cluster_id", "user_type"], ["recency_bucket", "step"])
-    return M.score_heads(rows, models).select("event_id", F.round("pred_score", 4).alias("pred_score"))
+    return scored_heads(spark, sf).select("event_id", "held_out", F.round("pred_score", 4).alias("pred_score"))
+
+
+@query("head_evaluation")
+def _head_evaluation(spark, sf):
+    """Losses and calibration of the heads on the sessions they have not seen."""
+    found = M.head_measures(scored_heads(spark, sf).where("held_out"))
+    return found.select("head", "rows", *[F.round(c, 4).alias(c) for c in ("loss", "base_loss", "calibration")])
 
 
 def _targets():

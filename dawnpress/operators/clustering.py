@@ -6,8 +6,6 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -78,13 +76,6 @@ def embedding_terms(items: DataFrame, entity_weight: float = 2.2, with_summary:
     return items.select("item_id", F.explode(F.concat(T.tokenize(text), boosted)).alias("token"))
 
 
-def spherical_kmeans(vectors: DataFrame, k: int = 280, iterations: int = 18, seed: int = 1337) -> DataFrame:
-    """Cosine k-means assignment (cluster_id, item_id)."""
-    rows = vectors.where(V.norm(F.col("vec")) > 0).select("item_id", array_to_vector("vec").alias("features"))
-    model = KMeans(k=k, maxIter=iterations, seed=seed, distanceMeasure="cosine", tol=1e-3).fit(rows)
-    return model.transform(rows).select(F.col("prediction").alias("cluster_id"), "item_id")
-
-
 def clusters_of_size(members: DataFrame, min_size: int) -> DataFrame:
     sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     return members.join(sizes.select("cluster_id"), "cluster_id")

@@ -12,6 +12,7 @@ from dawnpress.functions import text as T
 from dawnpress.functions import wordlists as W
 from dawnpress.operators import clustering as C
 from dawnpress.operators import ingest
+from dawnpress.operators.spherical import spherical_kmeans
 from dawnpress.session import cut_lineage
 
 
@@ -62,7 +63,7 @@ def story_clusters(
     items = cut_lineage(items)
     count = items.count()
     vectors = cut_lineage(C.random_index_vectors(C.embedding_terms(items), count, dim))
-    assigned = cut_lineage(C.spherical_kmeans(vectors, max(2, min(k, count))))
+    assigned = cut_lineage(spherical_kmeans(vectors, max(2, min(k, count))))
     features = cut_lineage(story_features(items, categories=categories))
     entities = features.select("item_id", F.explode("entities").alias("entity"))
     frequency = C.document_frequency(entities, "entity")
