@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Trees, fingerprints, belief propagation and tokens cannot be said in SQL; tests hold each stage against a brute-force version.
+#: Trees, fingerprints, belief propagation and tokens cannot be said in SQL; tests hold what the stages are made of against brute force.
 ORACLE_SQL = None
 
 
