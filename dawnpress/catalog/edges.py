@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dawnpress.catalog.base import query
 from dawnpress.catalog.clustering import CORES, MEMBERS, cores_of
 from dawnpress.catalog.sql import ARTICLES, INTERACTIONS, with_tables
+from dawnpress.functions import wordlists as W
 from dawnpress.session import shared_folder
 from dawnpress.sources import files
 from dawnpress.sources import fixtures as X
@@ -63,6 +64,26 @@ def _inventory_file(spark, sf):
     return rows.select("link", F.md5("headline").alias("headline"), F.date_format("published_utc", "yyyy-MM-dd HH:mm").alias("published"))
 
 
+@query(
+    "feature_table_file",
+    with_tables(
+        """ SELECT CAST(item_id AS VARCHAR) AS item_id, md5(headline) AS headline, md5(summary) AS summary, link, CAST(topic_id AS VARCHAR) AS topic_id, vibe_style
+FROM articles""",
+        ARTICLES,
+    ),
+)
+def _feature_table_file(spark, sf):
+    """The feature table as written for other tools: a CSV file of seventeen columns in their fixed order."""
+    path, rows = folder(spark), X.articles(spark, sf)
+    missing = [c for c in W.ARTICLE_COLUMNS if c.lower() not in {n.lower() for n in rows.columns}]
+    files.write_features(rows.withColumns({c: F.lit("") for c in missing}), path, "csv")
+    back = files.read_inventory(spark, path)
+    if back.columns != list(W.ARTICLE_COLUMNS):
+        raise ValueError(f"columns of the file: {back.columns}")
+    text = lambda name: F.md5(F.coalesce(name, F.lit(""))).alias(name.lower())
+    return back.select(C("Item_ID").alias("item_id"), text("Headline"), text("Summary"), C("Link").alias("link"), C("Topic_ID").alias("topic_id"), C("Vibe_Style").alias("vibe_style"))
+
+
 @query(
     "demand_headlines",
     with_tables(""" SELECT md5('say "' || headline || '",' || chr(10) || 'then') AS headline, count(*) AS n FROM articles GROUP BY 1""", ARTICLES),
@@ -96,13 +117,13 @@ def _interaction_log(spark, sf):
     with_tables(" SELECT 'k' || item_id AS key, CASE WHEN item_id % 3 = 0 THEN topic_name ELSE vibe_style END AS event FROM articles", ARTICLES),
 )
 def _label_cache_file(spark, sf):
-    """A record for every article, unreadable lines between them, and a later record for every third."""
+    """A record for every article, unreadable lines between them, and a later record for every third, in ordered part files."""
     path, rows = folder(spark), X.articles(spark, sf)
     record = lambda event: F.to_json(F.struct(F.concat(F.lit("k"), "item_id").alias("key"), C(event).alias("event")))
     first = rows.select((C("item_id") * 2).alias("at"), record("vibe_style").alias("value"))
     broken = rows.select((C("item_id") * 2 + 1).alias("at"), F.lit("{broken").alias("value"))
     later = rows.where("item_id % 3 = 0").select((C("item_id") + (1 << 40)).alias("at"), record("topic_name").alias("value"))
-    first.unionByName(broken).unionByName(later).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    first.unionByName(broken).unionByName(later).repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(path)
     return files.read_label_cache(spark, path)
 
 
