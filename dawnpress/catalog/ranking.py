@@ -60,23 +60,35 @@ def _user_vectors(spark, sf):
     )
 
 
-@query(
-    "nearest_items",
-    with_tables(
-        """,
+NEAREST = with_tables(
+    """,
 s AS (SELECT session_id, vec_id AS item_id, round(list_dot_product(u.vec, v.vec), 9) AS score FROM users u, vecs v),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY score DESC, item_id) AS INTEGER) AS near_rank FROM s)
 SELECT session_id, item_id, near_rank, round(score, 6) AS score FROM r WHERE near_rank <= 20""",
-        INTERACTIONS,
-        LATEST,
-        VECTORS,
-    ),
+    INTERACTIONS,
+    LATEST,
+    VECTORS,
 )
+
+
+@query("nearest_items", NEAREST)
 def _nearest_items(spark, sf):
-    near = Q.top_n_by_dot(user_vectors(spark, sf), X.item_vectors(spark, sf), 20)
+    near = Q.top_n_exact(user_vectors(spark, sf), X.item_vectors(spark, sf), 20)
     return near.select("session_id", "item_id", "near_rank", R6("score"))
 
 
+@query("nearest_items_by_bounds", NEAREST)
+def _nearest_items_by_bounds(spark, sf):
+    near = Q.top_n_by_bounds(user_vectors(spark, sf), X.item_vectors(spark, sf), 20)
+    return near.select("session_id", "item_id", "near_rank", R6("score"))
+
+
+@query("search_effort")
+def _search_effort(spark, sf):
+    """Items that the search of ``nearest_items_by_bounds`` scores per session, of all items."""
+    return Q.search_by_bounds(user_vectors(spark, sf), X.item_vectors(spark, sf), 20)[1]
+
+
 BLOCKED = """
 uni AS (SELECT count(*) AS total FROM documents),
 inside AS (SELECT DISTINCT session_id, item_id FROM latest),
