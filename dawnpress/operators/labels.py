@@ -34,48 +34,48 @@ def _ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
 def similar_labels(labels: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Pairs (later, earlier, score) of distinct labels whose matching ratio reaches the threshold.
 
-    The order is length descending, then text. Candidates come from a lossless filter: a ratio of at least t leaves at
-    most (1 - t) * (sum of lengths) unmatched characters, so of that many plus one equal pieces of the longer label one
-    must occur unchanged, and nearly in place, in the shorter one.
+    The order is length descending, then text. Candidates come from a lossless index of pieces. A ratio of t between lengths m >= n
+    matches at least t * (m + n) / 2 characters in order, so one label becomes the other by at most d = (1 - t) * (m + n) deletions
+    and insertions. The longer label is cut into pieces, one more than d can be for any partner. Let i be the first
+    piece such that it and those before it hold at most i edits: it is intact and exactly i edits lie before it. So the
+    shorter label holds piece i shifted by one of -i, -i + 2, ..., i, with at most d - i edits behind it. Only these windows
+    are looked up, as 64-bit hashes; strings meet again for candidate pairs only, where edit distance and ratio decide.
     """
     if threshold <= 0.5:
         raise ValueError("the candidate filter is lossless for thresholds above one half only")
-    rows = labels.select("label").where("label not in ('', 'General')").distinct().select("label", F.lower("label").alias("low"))
-    rows = rows.withColumn("n", F.length("low")).where("n > 0")
-    slack = (1 - threshold) / threshold
-    # Shortest partner of a label of length n: ratio <= 2 * shorter / (shorter + n).
-    # Edits between n and a partner m <= n: at most (1 - t) * (n + m) <= (1 - t) * 2n.
-    edits = F.floor((1 - threshold) * 2 * F.col("n") + F.lit(1e-9)).cast("int")
-    pieces = F.least(edits + 1, F.col("n"))
-    cut = lambda i: F.floor(F.col("n") * i / pieces).cast("int")
-    segments = rows.withColumn("pieces", pieces).select(
-        F.col("label").alias("earlier"),
-        F.col("low").alias("earlier_low"),
-        F.col("n").alias("m"),
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.col("pieces") - 1),
-                lambda i: F.struct(cut(i).alias("at"), F.substr(F.col("low"), cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")),
-            )
-        ).alias("s"),
-    )
-    # A probe of length n tries every longer length it may pair with and every piece position within the edit distance.
-    longest = F.floor(F.col("n") * (1 + 2 * slack) + F.lit(1e-9)).cast("int")
-    probes = rows.select("label", "low", "n", F.explode(F.sequence(F.col("n"), F.greatest(longest, F.col("n")))).alias("m"))
-    distance = F.floor((1 - threshold) * 2 * F.col("m") + F.lit(1e-9)).cast("int")
-    probes = probes.withColumn("d", distance).withColumn("pieces", F.least(F.col("d") + 1, F.col("m")))
-    at = lambda i: F.floor(F.col("m") * i / F.col("pieces")).cast("int")
-    probes = probes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    probes = probes.withColumn("at", at(F.col("i"))).withColumn("len", at(F.col("i") + 1) - F.col("at"))
-    low_start, high_start = F.greatest(F.col("at") - F.col("d"), F.lit(0)), F.least(F.col("at") + F.col("d"), F.col("n") - F.col("len"))
-    probes = probes.where(low_start <= high_start).withColumn("p", F.explode(F.sequence(low_start, F.greatest(low_start, high_start))))
-    probes = probes.select(
-        F.col("label").alias("later"), F.col("low").alias("later_low"), "n", "m", "at", F.substr(F.col("low"), F.col("p") + 1, F.col("len")).alias("piece")
-    ).distinct()
-    indexed = segments.select("earlier", "earlier_low", "m", F.col("s.at").alias("at"), F.col("s.piece").alias("piece"))
-    found = probes.join(indexed, ["m", "at", "piece"]).select("later", "earlier", "later_low", "earlier_low", "n", "m").distinct()
-    ordered = found.where((F.col("m") > F.col("n")) | (F.col("earlier") < F.col("later")))
-    scored = ordered.withColumn("score", _ratio("later_low", "earlier_low"))
+    rows = labels.select("label").where("label not in ('', 'General')").distinct()
+    rows = rows.select("label", F.lower("label").alias("low"), F.xxhash64("label").alias("id"))
+    rows = cut_lineage(rows.withColumn("n", F.length("low")).where("n > 0"))
+    loss, tiny = 1 - threshold, F.lit(1e-9)
+    edits = lambda total: F.floor(F.lit(loss) * total + tiny).cast("int")
+    # pieces of a label of length m, whatever the length of its partner
+    pieces = lambda m: F.least(edits(2 * m) + 1, m)
+    start = lambda m, i: F.floor(m * i / pieces(m)).cast("int")
+    m, n, i, at, size = (F.col(c) for c in ("m", "n", "i", "at", "size"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("at", start(m, i)).withColumn("size", start(m, i + 1) - at)
+
+    indexed = placed(rows.withColumnRenamed("n", "m").withColumn("i", F.explode(F.sequence(F.lit(0), pieces(m) - 1))))
+    indexed = indexed.select(F.col("id").alias("earlier_id"), F.xxhash64("m", "i", F.substr("low", at + 1, size)).alias("key"))
+
+    longest = F.floor(n * (1 + 2 * loss / threshold) + tiny).cast("int")  # of a partner
+    probes = rows.withColumn("m", F.explode(F.sequence(n, F.greatest(longest, n))))
+    probes = probes.withColumn("d", edits(m + n)).withColumn("same", F.ceil(F.lit(threshold / 2) * (m + n) - tiny).cast("int")).where("same <= n")
+    probes = placed(probes.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.col("d"), pieces(m) - 1)))))
+    behind = F.col("d") - i
+    low = F.greatest(-i, F.col("same") - m, n - m - behind, -at)
+    high = F.least(i, n - F.col("same"), n - m + behind, n - size - at)
+    probes = probes.withColumn("from", low + F.pmod(low - i, F.lit(2))).withColumn("to", high).where("from <= to")
+    probes = probes.withColumn("shift", F.explode(F.sequence("from", "to", F.lit(2))))
+    probes = probes.select(F.col("id").alias("later_id"), F.xxhash64("m", "i", F.substr("low", at + F.col("shift") + 1, size)).alias("key"))
+
+    met = probes.join(indexed, "key").select("later_id", "earlier_id").distinct()
+    side = lambda end: rows.select(*[F.col(c).alias(f"{end}_{c}") for c in ("id", "low", "n")], F.col("label").alias(end))
+    both = met.join(side("later"), "later_id").join(side("earlier"), "earlier_id")
+    ordered = both.where("earlier_n > later_n OR (earlier_n = later_n AND earlier < later)")
+    near = ordered.where(F.levenshtein("later_low", "earlier_low") <= edits(F.col("later_n") + F.col("earlier_n")))
+    scored = near.withColumn("score", _ratio("later_low", "earlier_low"))
     return scored.where(F.col("score") >= threshold).select("later", "earlier", "score")
 
 

@@ -111,3 +111,18 @@ def test_random_index_vectors_are_unit(spark):
     rows = {r.item_id: np.array(r.vec) for r in K.random_index_vectors(terms, 3).collect()}
     assert all(abs(np.linalg.norm(v) - 1) < 1e-9 and len(v) == 256 for v in rows.values())
     assert rows[1] @ rows[2] > abs(rows[1] @ rows[3])
+
+
+@pytest.mark.parametrize("threshold", [0.55, 0.8])
+def test_similar_labels_loses_no_pair(spark, threshold):
+    rng = random.Random(threshold)
+    names = {"".join(rng.choice("abé ") for _ in range(rng.randint(1, 14))) for _ in range(150)}
+    for name in sorted(names)[:40]:  # edits at both ends and in the middle, also of long labels
+        long = name * 4
+        at = rng.randrange(len(long))
+        names |= {long, "ba" + long, long + "é", long[:at] + "b" + long[at + 1 :], long[1:], long[:at] + "aé" + long[at:]}
+    ordered = sorted(names, key=lambda s: (-len(s), s))
+    want = {(b, a) for i, b in enumerate(ordered) for a in ordered[:i] if SequenceMatcher(None, b, a).ratio() >= threshold}
+    df = spark.createDataFrame([(n,) for n in names] + [(None,), ("",), ("General",)], "label string")
+    got = [(r.later, r.earlier) for r in L.similar_labels(df, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
