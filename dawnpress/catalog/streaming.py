@@ -103,10 +103,57 @@ def _interaction_stream(spark, sf):
     )
 
 
-@query("preference_deltas")
+# Scale and bias of the linear heads in the order of S.HEADS.
+DELTA_HEADS = [(2.0, 0.1), (1.5, 0.0), (1.0, -0.2), (1.0, 0.0), (-1.0, 0.0), (1.2, 0.0)]
+
+
+def sql_deltas() -> str:
+    """One gradient step of every session per round of the recursion; each round has at most one row of a session."""
+    targets = ["ratio >= 0.95", "ratio >= 0.85", "ratio >= 0.95", "ratio >= 0.9", "ratio <= 0.2"]
+    weight = {h: S.W.SERVING_WEIGHTS[h] * (-1 if h == "fast_skip" else 1) for h in S.HEADS}
+    p = ", ".join(f"1 / (1 + exp(-({a}::DOUBLE * z + {b}::DOUBLE))) AS p{i}" for i, (a, b) in enumerate(DELTA_HEADS))
+    crossed = " + ".join(
+        f"{S.LOSS[h]}::DOUBLE * (p{i} - ({targets[i]})::INT) * {DELTA_HEADS[i][0]}::DOUBLE" for i, h in enumerate(S.HEADS[:5])
+    )
+    slopes = [f"(p{i} * (1 - p{i}) * {a}::DOUBLE)" for i, (a, _) in enumerate(DELTA_HEADS)]
+    watched = f"{S.LOSS['watch_time']}::DOUBLE * 2 * (p5 - ratio) * {slopes[5]}"
+    blend = " + ".join(f"{weight[h]}::DOUBLE * p{i}" for i, h in enumerate(S.HEADS))
+    tilt = " + ".join(f"{weight[h]}::DOUBLE * {slopes[i]}" for i, h in enumerate(S.HEADS))
+    ranked = f"{S.LOSS['rank']}::DOUBLE * 2 * (r - wanted) * r * (1 - r) * ({tilt})"
+    scaled = lambda v, x: f"list_transform({v}, lambda e: e * {x})"
+    added = lambda a, b: f"list_transform(list_zip({a}, {b}), lambda e: e[1] + e[2])"
+    clip, bound, rate = S.GRADIENT_CLIP, S.DELTA_NORM, S.LEARNING_RATE
+    return f"""
+vecs AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
+steps AS (SELECT a.session_id, a.step, i.vec AS item, b.vec AS base, greatest(0.0::DOUBLE, e.dwell) / 10 AS ratio,
+  greatest(0.05::DOUBLE, least(0.95::DOUBLE, (a.session_reward + 10) / 20)) AS wanted
+  FROM adaptive a JOIN interactions e USING (event_id) JOIN vecs i ON i.vec_id = e.item_id % (SELECT count(*) FROM embeddings)
+  JOIN vecs b ON b.vec_id = CAST(a.session_id AS BIGINT) % (SELECT count(*) FROM embeddings)),
+walk AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS step, list_transform(base, lambda x: 0.0::DOUBLE) AS delta FROM steps
+  UNION ALL
+  SELECT session_id, step, CASE WHEN size > {bound}::DOUBLE THEN {scaled('moved', f'({bound}::DOUBLE / (size + 1e-8::DOUBLE))')} ELSE moved END AS delta FROM (
+  SELECT session_id, step, moved, sqrt(list_dot_product(moved, moved)) AS size FROM (
+  SELECT session_id, step, {added('delta', scaled('item', f'(-{rate}::DOUBLE * pull * CASE WHEN abs(pull) * reach > {clip}::DOUBLE THEN {clip}::DOUBLE / (abs(pull) * reach + 1e-8::DOUBLE) ELSE 1.0::DOUBLE END)'))} AS moved FROM (
+  SELECT *, {crossed} + {watched} + {ranked} AS pull, sqrt(list_dot_product(item, item)) AS reach FROM (
+  SELECT *, 1 / (1 + exp(-({blend}))) AS r FROM (
+  SELECT *, {p} FROM (
+  SELECT s.*, w.delta, list_dot_product({added('s.base', 'w.delta')}, s.item) AS z FROM walk w JOIN steps s ON s.session_id = w.session_id AND s.step = w.step + 1)))))))"""
+
+
+@query(
+    "preference_deltas",
+    with_tables(
+        """ SELECT session_id, round(sqrt(list_dot_product(arg_max(delta, step), arg_max(delta, step))), 6) AS delta_norm, max(step) AS step
+FROM walk WHERE step > 0 GROUP BY session_id""",
+        INTERACTIONS,
+        SQL_ADAPTIVE,
+        sql_deltas(),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _preference_deltas(spark, sf):
     """Length of each session's private preference vector after its last event."""
-    out = drained(S.interaction_stream(live_events(spark, sf), heads=[(2.0, 0.1), (1.5, 0.0), (1.0, -0.2), (1.0, 0.0), (-1.0, 0.0), (1.2, 0.0)]))
+    out = drained(S.interaction_stream(live_events(spark, sf), heads=DELTA_HEADS))
     return out.groupBy("session_id").agg(F.round(F.max_by("delta_norm", "step"), 6).alias("delta_norm"), F.max("step").alias("step"))
 
 
@@ -160,7 +207,18 @@ def _audio_feedback_stream(spark, sf):
     return out.select("session_id", "at", "content_id", "status", "reason", F.round("reward", 5).alias("reward"))
 
 
-@query("reader_sessions_stream")
+@query(
+    "reader_sessions_stream",
+    with_tables(
+        """,
+a AS (SELECT conv_id, turn, nullif(trim(CASE role WHEN 'user' THEN array_to_string(parts[1:(turn % 4)], ' ') WHEN 'assistant' THEN NULL ELSE array_to_string(parts, ' ') END), '') AS pos,
+       nullif(trim(CASE WHEN role = 'user' THEN parts[turn % 4 + 1] END), '') AS neg FROM four)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS position, CAST(count(*) OVER w AS INTEGER) AS seen,
+  coalesce(last_value(pos IGNORE NULLS) OVER w, '') AS pos_anchor, coalesce(last_value(neg IGNORE NULLS) OVER w, '') AS neg_anchor
+FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""",
+        SQL_FOUR,
+    ),
+)
 def _reader_sessions_stream(spark, sf):
     turns = streamed(spark, sf, "conversations")
     action = F.when(C("role") == "assistant", "read_sentence").when(C("role") == "user", "skip_article").otherwise("complete_article")
@@ -171,7 +229,16 @@ def _reader_sessions_stream(spark, sf):
     return drained(S.reader_stream(events))
 
 
-@query("domain_demand_stream")
+@query(
+    "domain_demand_stream",
+    with_tables(
+        """,
+days AS (SELECT i.*, CAST(ts AS DATE) - CAST(d AS INTEGER) AS first_day FROM interactions i, (SELECT unnest(range(0, 7)) AS d))
+SELECT strftime(first_day, '%Y-%m-%d') AS window_start, topic_name, count(*) AS interactions, round(avg(-10 + 2 * dwell) * sqrt(count(*)), 6) AS score
+FROM days WHERE first_day + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY first_day, topic_name HAVING count(*) >= 6""",
+        INTERACTIONS,
+    ),
+)
 def _domain_demand_stream(spark, sf):
     """Weekly demand windows that the watermark has closed."""
     n = X.table(spark, sf, "documents").count()
