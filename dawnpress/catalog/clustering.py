@@ -260,7 +260,29 @@ def _split_clusters(spark, sf):
     return K.split_clusters(halves(spark, sf), gated(spark, sf), 2)
 
 
-@query("prune_by_titles")
+# One member of a cluster leaves per round; the others give up their similarity to it.
+PRUNE = """
+pu AS (SELECT cluster_id, item_id, token, w FROM av JOIN units USING (item_id)),
+ps AS (SELECT x.cluster_id, x.item_id AS a, y.item_id AS b, sum(x.w * y.w) AS sim
+       FROM pu x JOIN pu y ON y.cluster_id = x.cluster_id AND y.token = x.token AND y.item_id <> x.item_id GROUP BY ALL),
+peel AS (
+  SELECT 0 AS round, av.cluster_id, av.item_id, coalesce(sum(sim), 0) AS dot, count(*) OVER (PARTITION BY av.cluster_id) AS n
+  FROM av LEFT JOIN ps ON ps.cluster_id = av.cluster_id AND ps.a = av.item_id GROUP BY av.cluster_id, av.item_id
+  UNION ALL
+  SELECT round + 1, w.cluster_id, w.item_id, w.dot - coalesce(ps.sim, 0), n - 1 FROM (
+    SELECT *, first_value(item_id) OVER (PARTITION BY cluster_id ORDER BY round(dot / greatest(1, n - 1), 12), item_id) AS worst,
+      min(round(dot / greatest(1, n - 1), 12)) OVER (PARTITION BY cluster_id) AS low FROM peel) w
+  LEFT JOIN ps ON ps.cluster_id = w.cluster_id AND ps.a = w.item_id AND ps.b = w.worst
+  WHERE w.item_id <> w.worst AND low < 0.01 AND n >= 3),
+ends AS (SELECT *, min(round(dot / greatest(1, n - 1), 12)) OVER (PARTITION BY cluster_id, round) AS low FROM peel)"""
+
+
+@query(
+    "prune_by_titles",
+    with_tables(" SELECT cluster_id, item_id FROM ends WHERE low >= 0.01 AND n >= 3", ARTICLES, TITLE_TERMS, MEMBERS, PRUNE).replace(
+        "WITH ", "WITH RECURSIVE ", 1
+    ),
+)
 def _prune(spark, sf):
     return K.prune_by_titles(members(spark, sf), K.unit_weights(title_units(spark, sf)), min_mean=0.01)
 

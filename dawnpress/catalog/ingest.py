@@ -172,7 +172,28 @@ def _title_dedupe(spark, sf):
     return ingest.title_dedupe(X.articles(spark, sf)).select("item_id")
 
 
-@query("title_dedupe_one_per_event")
+# Each round of the recursion finds the next row that nothing kept so far stops.
+ONE_PER_EVENT = """
+te AS (SELECT tt.*, lower(trim(event_key)) AS event FROM tt JOIN articles USING (item_id)),
+walk AS (
+  SELECT -1::BIGINT AS pos, NULL::BIGINT AS item_id, []::VARCHAR[] AS events, []::STRUCT(sig VARCHAR, toks VARCHAR[])[] AS leads
+  UNION ALL
+  SELECT pos, item_id, list_append(events, event), list_append(leads, struct_pack(sig := sig, toks := toks)) FROM (
+    SELECT min(t.pos) AS pos, arg_min(t.item_id, t.pos) AS item_id, arg_min(t.event, t.pos) AS event, arg_min(t.sig, t.pos) AS sig,
+      arg_min(t.toks, t.pos) AS toks, any_value(w.events) AS events, any_value(w.leads) AS leads
+    FROM walk w JOIN (SELECT *, CASE WHEN event IN ('', 'unknown_event') THEN NULL ELSE event END AS known FROM te) t
+      ON t.pos > w.pos AND NOT coalesce(list_contains(w.events, t.known), false)
+     AND coalesce(len(list_intersect(t.toks, list_filter(w.leads, lambda l: l.sig = t.sig AND l.sig <> '')[1].toks))::DOUBLE
+       / len(list_distinct(list_concat(t.toks, list_filter(w.leads, lambda l: l.sig = t.sig AND l.sig <> '')[1].toks))), 0) < 0.92)
+  WHERE pos IS NOT NULL)"""
+
+
+@query(
+    "title_dedupe_one_per_event",
+    with_tables(
+        " SELECT item_id, event_key FROM walk JOIN articles USING (item_id)", ARTICLES, TITLED, ONE_PER_EVENT
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def _title_dedupe_one_per_event(spark, sf):
     return ingest.title_dedupe(X.articles(spark, sf), one_per_event=True).select("item_id", "event_key")
 
