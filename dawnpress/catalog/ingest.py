@@ -560,17 +560,55 @@ FROM final WHERE keep <= 40""",
 )
 def _pool_refresh(spark, sf):
     """Pools of the thirty oldest links, refreshed to forty with what is left of the day's twenty."""
+    rows = inventory(spark, sf)
+    old = stored_pools(rows)
+    return pools.refresh_pools(old, rows, day_changed=False, size=40)
+
+
+def stored_pools(rows):
+    """Pools of the thirty oldest links with the allowance that the day has used."""
     from dawnpress.operators.frames import top_per_key
 
-    rows = inventory(spark, sf)
-    links = pools.cluster_links(rows)
-    old = top_per_key(links, ["cluster_id"], ["item_id"], 30, "queue_pos").select(
+    return top_per_key(pools.cluster_links(rows), ["cluster_id"], ["item_id"], 30, "queue_pos").select(
         "cluster_id",
         C("queue_pos").cast("bigint").alias("queue_pos"),
         "link",
         F.when(C("cluster_id") > "src15", 13).otherwise(5).alias("new_added_today"),
     )
-    return pools.refresh_pools(old, rows, day_changed=False, size=40)
+
+
+@query(
+    "pool_refresh_stream",
+    with_tables(
+        """ SELECT cluster_id, queue_pos, link,
+  CAST(added + (SELECT max(used) FROM pools0 p WHERE p.cluster_id = final.cluster_id) AS INTEGER) AS new_added_today
+FROM final WHERE keep <= 140""",
+        ARTICLES,
+        INVENTORY,
+        POOLS.replace("link_rank <= 60", "link_rank <= 160"),
+    ),
+)
+def _pool_refresh_stream(spark, sf):
+    """Stored pools refreshed by a micro-batch that is delivered twice, as after a failure; the day's counter goes on."""
+    import uuid
+
+    from dawnpress.session import shared_folder
+    from dawnpress.sources.snapshots import latest_snapshot, write_snapshot
+    from dawnpress.streaming.sinks import refresh_pools_on_batch
+
+    root = f"{shared_folder(spark)}/pools-{uuid.uuid4().hex}"
+    day = F.lit("2024-02-01").alias("day_utc")
+    write_snapshot(stored_pools(inventory(spark, sf)).select("*", day), f"{root}/pools", -1)
+    refresh = refresh_pools_on_batch(f"{root}/pools")
+
+    def twice(batch, batch_id):
+        landed = X.articles_of(batch).withColumn("link", T.canonicalize_url(C("link"))).select("*", day)
+        refresh(landed, batch_id)
+        refresh(landed, batch_id)
+
+    source = spark.readStream.schema(X.table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    source.writeStream.foreachBatch(twice).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return latest_snapshot(spark, f"{root}/pools").select("cluster_id", "queue_pos", "link", "new_added_today")
 
 
 DAILY = """

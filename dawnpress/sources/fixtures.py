@@ -28,7 +28,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """One article per document: the first twelve words are the headline, all other words the summary."""
-    doc = table(spark, sf, "documents")
+    return articles_of(table(spark, sf, "documents"))
+
+
+def articles_of(doc: DataFrame) -> DataFrame:
     tidy = F.trim(F.regexp_replace("text", r"\s+", " "))
     published = F.expr(f"timestamp'{NOW}' - make_dt_interval(0, 0, cast(doc_id * 7919 % 43200 as int), 0)")
     link = F.concat(

@@ -281,10 +281,14 @@ def reader_stream(events: DataFrame, memory: int | None = None, expire_minutes:
             return
         seen, liked, avoided = state.get if state.exists else ([], "", "")
         seen = list(seen)
+        known = set(seen)
         out = []
         for r in pd.concat(list(batches)).sort_values("position").itertuples(index=False):
-            if r.article_id not in seen:
-                seen = [*seen, int(r.article_id)][-memory if memory else 0 :]
+            if r.article_id not in known:
+                seen.append(int(r.article_id))
+                known.add(seen[-1])
+                if memory and len(seen) > memory:
+                    known.discard(seen.pop(0))
             if r.action == "skip_article":
                 at = min(3, max(0, 0 if pd.isna(r.sentence_index) else int(r.sentence_index)))
                 liked = " ".join(r.sentences[:at]).strip() or liked
