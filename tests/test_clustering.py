@@ -126,3 +126,18 @@ def test_similar_labels_loses_no_pair(spark, threshold):
     df = spark.createDataFrame([(n,) for n in names] + [(None,), ("",), ("General",)], "label string")
     got = [(r.later, r.earlier) for r in L.similar_labels(df, threshold).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_clusters_of_thousands_are_pruned_inside_one_task(spark, monkeypatch):
+    from dawnpress.operators import clustering
+
+    def rounds(*_):
+        raise AssertionError("one member a round")
+
+    monkeypatch.setattr(clustering, "title_similarity", rounds)
+    # 2,300 members of one title, 200 alone with theirs and 3 without any
+    rows = [(i, "a", 0.8) for i in range(2300)] + [(i, "b", 0.6) for i in range(2300)] + [(i, f"t{i}", 1.0) for i in range(2300, 2500)]
+    units = spark.createDataFrame(rows, "item_id bigint, token string, w double")
+    members = spark.range(2503).selectExpr("bigint(0) AS cluster_id", "id AS item_id")
+    kept = clustering.prune_by_titles(members, units, min_mean=0.5)
+    assert sorted(r.item_id for r in kept.collect()) == list(range(2300))
