@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,19 @@ def test_clusters_of_thousands_are_pruned_inside_one_task(spark, monkeypatch):
     members = spark.range(2503).selectExpr("bigint(0) AS cluster_id", "id AS item_id")
     kept = clustering.prune_by_titles(members, units, min_mean=0.5)
     assert sorted(r.item_id for r in kept.collect()) == list(range(2300))
+
+
+def test_labels_that_share_pieces_only_are_no_candidates():
+    rng = random.Random(3)
+    names = ["the " + "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(7)) for _ in range(400)]
+    keys = L._label_keys(0.85)
+    rows = pd.DataFrame({"id": range(len(names)), "low": names, "n": [len(n) for n in names]})
+    made = pd.concat(list(keys(iter([rows]))))
+    assert len(made) < 100 * len(names)
+    met = made.merge(made, on="key")
+    met = met[met.id_x < met.id_y]
+    # by pieces of three characters all 400 labels with the same first word met each other
+    assert len(met) < 0.2 * len(names) ** 2 / 2
+    marks = [bin(int(a) ^ int(b)).count("1") for a, b in zip(met.marks_x, met.marks_y)]
+    left = met[[m <= n + k - 2 * c for m, n, k, c in zip(marks, met.n_x, met.n_y, met.common_x)]]
+    assert len(left) < 0.01 * len(names) ** 2 / 2
