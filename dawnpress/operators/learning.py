@@ -90,5 +90,6 @@ def phase_crosstab(users: DataFrame, step: str, total: str, clusters: int = 3, s
 
     third = F.when(F.col(step) <= F.floor(F.col(total) / 3), "early").when(F.col(step) <= F.floor(F.col(total) * 2 / 3), "mid").otherwise("late")
     rows = users.withColumn("phase", third).withColumn("features", array_to_vector("vec"))
+    rows = cut_lineage(rows.select("phase", "features"))  # the fit passes over them many times
     assigned = KMeans(k=clusters, seed=seed).fit(rows).transform(rows)
     return assigned.groupBy(F.col("prediction").alias("cluster")).pivot("phase", ["early", "mid", "late"]).count().fillna(0)

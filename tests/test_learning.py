@@ -27,3 +27,17 @@ def test_measures_equal_plain_sums(spark):
     assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in ((like.loss, log_loss(p)), (like.base_loss, log_loss([mean] * len(y))), (like.calibration, calibration)))
     assert math.isclose(watch.loss, sum((a - t) ** 2 for a, t in zip(p, y, strict=True)) / len(y), rel_tol=1e-9)
     assert math.isclose(watch.base_loss, mean - mean**2, rel_tol=1e-9) and like.rows == 300
+
+
+def test_phase_crosstab_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(i):
+        made.add(1)
+        return [float(i % 3), float(i % 5)]
+
+    users = spark.range(60).select(vector("id").alias("vec"), F.col("id").alias("step"), F.lit(59).alias("total"))
+    table = learning.phase_crosstab(users, "step", "total").collect()
+    assert sum(r.early + r.mid + r.late for r in table) == 60
+    assert made.value == 60
