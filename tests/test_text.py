@@ -86,3 +86,20 @@ def test_boundaries(spark):
     few = one(spark, N.skip_reward(F.lit(5.0), F.lit(11), F.lit(2.0), F.lit(1.0)))
     many = one(spark, N.skip_reward(F.lit(5.0), F.lit(12), F.lit(2.0), F.lit(0.1)))
     assert few == 0.0 and many > 5
+
+
+def test_sentences_are_deduplicated_in_one_pass(spark):
+    c = F.col("t")
+    text = "One  two.\u00a0ONE, two! \n Three?  İΣ one two. ... é! Three ?\t3."
+    assert one(spark, T.dedupe_sentences(c), t=text) == "One two. Three? İΣ one two. 3."
+    assert one(spark, T.dedupe_sentences(c), t=" é! \n ... ") == "é! ..." and one(spark, T.dedupe_sentences(c), t=None) == ""
+    once = spark.range(1).select(F.col("id").cast("string").alias("t")).select(T.dedupe_sentences(c).alias("x"))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("array_join(") == 2
+
+
+def test_untidy_blanks_equal_all_blanks(spark):
+    texts = ["a b", " a  b ", "a\tb", "a \nb", "\u00a0 a\u2003\u2003b\x1c", "\n", " ", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    every = F.trim(F.regexp_replace("t", T.UNICODE_BLANK, " "))
+    assert all(r.a == r.b for r in rows.select(every.alias("a"), T.norm_space(F.col("t")).alias("b")).collect())
