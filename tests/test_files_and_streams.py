@@ -140,3 +140,10 @@ def test_an_event_counts_again_after_its_time_to_live(spark):
     got = S.dedupe_batch(events).collect()
     assert sorted(r.day for r in got if r.event_id == "e") == [0, 14, 28, 60]
     assert sorted(r.day for r in got if r.event_id == "f") == [0, 15] and sum(r.event_id == "" for r in got) == 2
+
+
+def test_profiles_of_a_small_file_are_dealt_to_all_tasks(spark, sf):
+    from dawnpress.sources import fixtures as X
+
+    assert X.table(spark, sf, "customer").rdd.getNumPartitions() == 1
+    assert X.profiles(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
