@@ -18,9 +18,15 @@ CHUNK_ROWS = 65_536
 
 
 def first_rows(df: DataFrame, limit: int, pos: str = "pos") -> DataFrame:
-    """The ``limit`` rows of lowest ``pos``, found by chunk counts."""
-    placed = global_position(df, [pos], F.floor(F.col(pos) / CHUNK_ROWS), "_place")
-    return placed.where(F.col("_place") < limit).drop("_place")
+    """The ``limit`` rows of lowest ``pos``, found by chunk counts.
+
+    A row that ``limit`` rows of its own chunk precede is out, so ``df`` is evaluated once, for the first ``limit`` rows of every chunk;
+    these are stored and placed.
+    """
+    tagged = df.withColumn("_part", F.floor(F.col(pos) / CHUNK_ROWS))
+    short = cut_lineage(top_per_key(tagged, ["_part"], [pos], limit, "_nth").drop("_nth"))
+    placed = global_position(short, [pos], F.col("_part"), "_place")
+    return placed.where(F.col("_place") < limit).drop("_place", "_part")
 
 
 def is_wrapped(link: Column, wrapper: str = W.WRAPPER_DOMAIN) -> Column:

@@ -142,3 +142,17 @@ def test_pools_in_micro_batches(spark, tmp_path):
     last = latest_snapshot(spark, str(tmp_path / "pools"))
     assert last.count() == 140 and last.select("new_added_today").first()[0] == 20
     assert latest_snapshot(spark, str(tmp_path / "pools"), before=1).select("day_utc").first()[0] == "2024-01-01"
+
+
+def test_first_rows_evaluate_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(pos):
+        seen.add(1)
+        return pos
+
+    rows = spark.createDataFrame([(p * 40_000,) for p in range(50)] + [(0,), (None,)], "pos bigint")
+    marked = rows.withColumn("mark", F.udf(mark, "bigint")("pos"))
+    kept = sorted(r.mark for r in ingest.first_rows(marked, 7).collect())
+    assert kept == [0, 0, 40_000, 80_000, 120_000, 160_000]  # a row without a position is none, but takes a place
+    assert seen.value == 52

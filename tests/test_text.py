@@ -103,3 +103,12 @@ def test_untidy_blanks_equal_all_blanks(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     every = F.trim(F.regexp_replace("t", T.UNICODE_BLANK, " "))
     assert all(r.a == r.b for r in rows.select(every.alias("a"), T.norm_space(F.col("t")).alias("b")).collect())
+
+
+def test_quality_evaluates_a_text_once(spark):
+    raw = spark.createDataFrame([("sdrow xis tsael ta fo enildaeh a", "x" * 40, "http://a/b"), (None, None, None)], "h string, s string, u string")
+    rows = raw.select(F.reverse("h").alias("h"), "s", "u")
+    test = T.quality_item(F.col("h"), F.col("s"), F.col("u"))
+    assert rows.where(test).count() == 1
+    planned = spark.range(1).select(F.reverse(F.col("id").cast("string")).alias("h"), F.lit("s").alias("s"), F.lit("u").alias("u"))
+    assert planned.where(test)._jdf.queryExecution().optimizedPlan().toString().count("reverse(") <= 2  # filter and output
