@@ -74,30 +74,45 @@ def skip_reward_of(dwell: float, history: list[float]) -> float:
     absolute = -8.0 + 1.6 * dwell
     if len(history) < 12:
         return min(10.0, max(-10.0, absolute))
-    past = np.asarray(history)
-    z = (dwell - past.mean()) / max(0.35, past.std())
+    mean = math.fsum(history) / len(history)
+    spread = math.sqrt(math.fsum([(x - mean) ** 2 for x in history]) / len(history))
+    z = (dwell - mean) / max(0.35, spread)
     return min(10.0, max(-10.0, 0.75 * 9.0 * math.tanh(z / 1.35) + 0.25 * absolute))
 
 
-def preference_step(delta: np.ndarray, base: np.ndarray, item: np.ndarray, ratio: float, reward: float, heads: np.ndarray) -> np.ndarray:
-    """One private gradient step of the session's vector under linear heads ``scale * dot + bias`` (rows of ``heads``)."""
-    z = float((base + delta) @ item)
-    probability = 1.0 / (1.0 + np.exp(-(heads[:, 0] * z + heads[:, 1])))
-    target = np.array([ratio >= 0.95, ratio >= 0.85, ratio >= 0.95, ratio >= 0.90, ratio <= 0.20, ratio], float)
-    slope = probability * (1 - probability) * heads[:, 0]
-    loss = np.array([LOSS[h] for h in HEADS])
-    crossed = loss[:5] * (probability[:5] - target[:5]) * heads[:5, 0]
-    watched = loss[5] * 2 * (probability[5] - target[5]) * slope[5]
-    weight = np.array([W.SERVING_WEIGHTS[h] * (-1 if h == "fast_skip" else 1) for h in HEADS])
-    ranked = 1.0 / (1.0 + math.exp(-float(weight @ probability)))
+def _sigmoid(x: float) -> float:
+    return 1.0 / (1.0 + math.exp(-x)) if x > -700.0 else 0.0
+
+
+SIGNED_WEIGHTS = [W.SERVING_WEIGHTS[h] * (-1 if h == "fast_skip" else 1) for h in HEADS]
+
+
+def preference_pull(z: float, ratio: float, reward: float, heads: list[tuple[float, float]]) -> float:
+    """Slope of the private loss along the item's vector, at ``z`` = (base + delta) * item."""
+    targets = (ratio >= 0.95, ratio >= 0.85, ratio >= 0.95, ratio >= 0.90, ratio <= 0.20)
+    probability = [_sigmoid(scale * z + bias) for scale, bias in heads]
+    slope = [p * (1 - p) * scale for p, (scale, _) in zip(probability, heads, strict=True)]
+    pull = 0.0
+    for head, p, target, (scale, _) in zip(HEADS, probability, targets, heads):  # noqa: B905 - watch time has no target
+        pull += LOSS[head] * (p - target) * scale
+    pull += LOSS["watch_time"] * 2 * (probability[5] - ratio) * slope[5]
+    ranked = _sigmoid(sum(w * p for w, p in zip(SIGNED_WEIGHTS, probability, strict=True)))
     wanted = min(0.95, max(0.05, (reward + 10.0) / 20.0))
-    rank_part = LOSS["rank"] * 2 * (ranked - wanted) * ranked * (1 - ranked) * float(weight @ slope)
-    gradient = (crossed.sum() + watched + rank_part) * item
-    size = np.linalg.norm(gradient)
+    tilt = sum(w * t for w, t in zip(SIGNED_WEIGHTS, slope, strict=True))
+    return pull + LOSS["rank"] * 2 * (ranked - wanted) * ranked * (1 - ranked) * tilt
+
+
+def preference_step(
+    delta: np.ndarray, base: np.ndarray, item: np.ndarray, ratio: float, reward: float, heads: np.ndarray | list[tuple[float, float]]
+) -> np.ndarray:
+    """One private gradient step of the session's vector under linear heads ``scale * dot + bias`` (rows of ``heads``)."""
+    pairs = heads.tolist() if isinstance(heads, np.ndarray) else heads
+    pull = preference_pull(float((base + delta) @ item), ratio, reward, pairs)
+    size = abs(pull) * math.sqrt(item @ item)
     if size > GRADIENT_CLIP:
-        gradient = gradient * (GRADIENT_CLIP / (size + 1e-8))
-    moved = delta - LEARNING_RATE * gradient
-    length = np.linalg.norm(moved)
+        pull *= GRADIENT_CLIP / (size + 1e-8)
+    moved = delta - (LEARNING_RATE * pull) * item
+    length = math.sqrt(moved @ moved)
     return moved * (DELTA_NORM / (length + 1e-8)) if length > DELTA_NORM else moved
 
 
@@ -113,8 +128,9 @@ def interaction_stream(
     """
     import hashlib
 
-    weights = np.array(heads or [(1.0, 0.0)] * len(HEADS))
+    weights = [(float(scale), float(bias)) for scale, bias in heads or [(1.0, 0.0)] * len(HEADS)]
     has_base = "base" in events.columns
+    used = ["event_id", "item_id", "dwell", "reason", "vec", "token_head", *(["base"] if has_base else [])]
 
     def machine(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -125,29 +141,30 @@ def interaction_stream(
             seq, seen, skips, delta = list(seq), list(seen), list(skips), np.asarray(delta, float)
         else:
             step, seq, seen, skips, mean, delta = 0, [0] * SEQUENCE, [], [], 0.0, np.zeros(0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        parts = list(batches)
+        rows = (parts[0] if len(parts) == 1 else pd.concat(parts)).sort_values(["ts", "event_id"])
         out = []
-        for r in rows.itertuples(index=False):
-            dwell = min(10.0, max(0.0, r.dwell))
-            if r.reason == "auto":
+        for event_id, item_id, watched, reason, vec, token_head, *own in zip(*[rows[c].tolist() for c in used], strict=True):
+            dwell = min(10.0, max(0.0, watched))
+            if reason == "auto":
                 reward = 10.0
             else:
-                reward = skip_reward_of(dwell, skips) if r.reason == "skip" else -10.0 + 2.0 * dwell
-            vec = np.asarray(r.vec, float) if r.vec is not None else np.zeros(0)
+                reward = skip_reward_of(dwell, skips) if reason == "skip" else -10.0 + 2.0 * dwell
+            vec = np.asarray(vec, float) if vec is not None else np.zeros(0)
             if len(vec):
                 delta = delta if len(delta) == len(vec) else np.zeros(len(vec))
-                known = has_base and r.base is not None and len(r.base) == len(vec)
-                base = np.asarray(r.base, float) if known else np.zeros(len(vec))
+                known = has_base and own[0] is not None and len(own[0]) == len(vec)
+                base = np.asarray(own[0], float) if known else np.zeros(len(vec))
                 delta = preference_step(delta, base, vec, dwell / 10.0, reward, weights)
-            before = list(seen)
+            before = seen
             step += 1
-            seen = [*seen, int(r.item_id)][-SEEN:]
-            if r.reason == "skip":
+            seen = [*seen, int(item_id)][-SEEN:]
+            if reason == "skip":
                 skips = [*skips, dwell][-SKIP_HISTORY:]
             mean += (reward - mean) / step
-            digest = hashlib.md5(f"{r.token_head}|sx{min(9, step // 10)}".encode()).hexdigest()
+            digest = hashlib.md5(f"{token_head}|sx{min(9, step // 10)}".encode()).hexdigest()
             seq = [*seq, 1 + int(digest[:8], 16) % 4095][-SEQUENCE:]
-            out.append((r.event_id, key[0], step, reward, mean, list(seq), before, float(np.linalg.norm(delta))))
+            out.append((event_id, key[0], step, reward, mean, seq, before, math.sqrt(delta @ delta)))
         state.update((step, seq, seen, skips, float(mean), [float(x) for x in delta]))
         if expire_minutes is not None:
             state.setTimeoutDuration(expire_minutes * 60_000)

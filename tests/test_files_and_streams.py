@@ -147,3 +147,26 @@ def test_profiles_of_a_small_file_are_dealt_to_all_tasks(spark, sf):
 
     assert X.table(spark, sf, "customer").rdd.getNumPartitions() == 1
     assert X.profiles(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_session_step_equals_vector_formula():
+    rng = np.random.default_rng(5)
+    heads = rng.normal(size=(6, 2))
+    for _ in range(50):
+        delta, base, item = rng.normal(size=(3, 8)) * rng.choice([0.3, 3.0])
+        ratio, reward, history = rng.random(), rng.uniform(-10, 10), list(rng.random(rng.integers(0, 30)) * 10)
+        p = 1 / (1 + np.exp(-(heads[:, 0] * ((base + delta) @ item) + heads[:, 1])))
+        target = np.array([ratio >= 0.95, ratio >= 0.85, ratio >= 0.95, ratio >= 0.9, ratio <= 0.2, ratio])
+        slope, loss, weight = p * (1 - p) * heads[:, 0], np.array([S.LOSS[h] for h in S.HEADS]), np.array(S.SIGNED_WEIGHTS)
+        r = 1 / (1 + np.exp(-(weight @ p)))
+        wanted = np.clip((reward + 10) / 20, 0.05, 0.95)
+        pull = (loss[:5] * (p - target)[:5] * heads[:5, 0]).sum() + loss[5] * 2 * (p[5] - ratio) * slope[5]
+        pull += S.LOSS["rank"] * 2 * (r - wanted) * r * (1 - r) * (weight @ slope)
+        step = pull * item * min(1, S.GRADIENT_CLIP / (np.linalg.norm(pull * item) + 1e-8))
+        moved = delta - S.LEARNING_RATE * step
+        moved = moved * min(1, S.DELTA_NORM / (np.linalg.norm(moved) + 1e-8))
+        assert np.allclose(S.preference_step(delta, base, item, ratio, reward, heads), moved, atol=1e-6)
+        if len(history) >= 12:
+            z = (ratio * 10 - np.mean(history)) / max(0.35, np.std(history))
+            mixed = 6.75 * np.tanh(z / 1.35) + 0.25 * (1.6 * ratio * 10 - 8)
+            assert np.isclose(S.skip_reward_of(ratio * 10, history), np.clip(mixed, -10, 10))
