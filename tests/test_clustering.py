@@ -158,3 +158,46 @@ def test_labels_that_share_pieces_only_are_no_candidates():
     marks = [bin(int(a) ^ int(b)).count("1") for a, b in zip(met.marks_x, met.marks_y)]
     left = met[[m <= n + k - 2 * c for m, n, k, c in zip(marks, met.n_x, met.n_y, met.common_x)]]
     assert len(left) < 0.01 * len(names) ** 2 / 2
+
+
+@pytest.mark.parametrize(("seed", "gate"), [(0, -0.1), (1, 0.3), (2, 0.0)])
+def test_gated_pairs(spark, seed, gate):
+    """Pairs against brute force, items of two rows included; the links have the same components in fewer rows."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(90):
+        vec = None if i % 29 == 28 else [float(rng.choice([-1, 0, 1])) if seed == 2 else rng.gauss(0.4, 1) for _ in range(4)]
+        entities = [f"e{rng.randrange(12)}" for _ in range(rng.randrange(6))]
+        grams = [f"g{rng.randrange(25)}" for _ in range(rng.randrange(7))]
+        rows.append((i, vec, rng.choice(["politics", "sports", None]), entities, grams))
+    rows += [(row[0], row[1], "sports", row[3], row[4]) for row in rows[:5]]
+    features = spark.createDataFrame(rows, "item_id long, vec array<float>, category string, entities array<string>, ngrams array<string>").cache()
+    members = spark.createDataFrame([(i % 2, i) for i in range(90)], "cluster_id long, item_id long")
+    held = features.select("item_id", F.explode("entities").alias("entity"))
+    frequency = K.document_frequency(held, "entity")
+    common = {r.entity for r in frequency.collect() if np.log((95 + 1) / (r.df + 1)) + 1 < 2.2}
+    want = []
+    first = {row[0]: row for row in reversed(rows)}
+    for a in range(90):
+        for b in range(a + 2, 90, 2):
+            x, y = first[a], first[b]
+            e, g = len((set(x[3]) & set(y[3])) - common), len(set(x[4]) & set(y[4]))
+            kinds = [[row[2] for row in rows if row[0] == i] for i in (a, b)]
+            enough = sum(e >= (3 if "politics" in (p, q) else 2) or g >= 2 for p in kinds[0] for q in kinds[1])
+            near = x[1] is not None and y[1] is not None and sum(np.float64(np.float32(p)) * np.float64(np.float32(q)) for p, q in zip(x[1], y[1], strict=True)) >= gate
+            want += [(a, b)] * (enough * near * len(kinds[0]) * len(kinds[1]))
+    call = lambda **more: K.gated_pairs(members, features, frequency, gate=gate, entity_idf=2.2, **more)
+    assert sorted(tuple(r) for r in call().collect()) == sorted(want) and want
+    groups = lambda pairs: sorted(tuple(r) for r in connected_components(pairs, members).collect())
+    assert groups(call(links_only=True)) == groups(call())
+
+
+def test_links_grow_with_the_items(spark):
+    rows = [(i, [1.0, float(i % 7)], "sports", ["one", "two"], []) for i in range(1200)]
+    rows += [(i, [1.0, 1.0], "sports", [], []) for i in range(1200, 40000)]
+    features = spark.createDataFrame(rows, "item_id long, vec array<double>, category string, entities array<string>, ngrams array<string>")
+    members = features.select(F.lit(1).cast("long").alias("cluster_id"), "item_id")
+    frequency = K.document_frequency(features.select("item_id", F.explode("entities").alias("entity")), "entity")
+    pairs = K.gated_pairs(members, features, frequency, gate=0.5)
+    links = K.gated_pairs(members, features, frequency, gate=0.5, links_only=True)
+    assert pairs.count() == 1200 * 1199 // 2 and links.count() < 4 * 1200
