@@ -112,3 +112,16 @@ def test_quality_evaluates_a_text_once(spark):
     assert rows.where(test).count() == 1
     planned = spark.range(1).select(F.reverse(F.col("id").cast("string")).alias("h"), F.lit("s").alias("s"), F.lit("u").alias("u"))
     assert planned.where(test)._jdf.queryExecution().optimizedPlan().toString().count("reverse(") <= 2  # filter and output
+
+
+def test_first_words_and_headlines_need_no_whole_text(spark):
+    from dawnpress.sources import fixtures as X
+
+    rows = ["", "  ", "one", " a\tb  c ", " x　y z\n", " ".join(f"w{i}" for i in range(30)), "\t" + "  \n".join(f"w{i}" for i in range(14)) + " "]
+    df = spark.createDataFrame([(i, f"src{i}", "en", t) for i, t in enumerate(rows)], "doc_id bigint, source string, lang string, text string")
+    for n in (1, 3, 55):
+        got = df.orderBy("doc_id").select(T.norm_space(T.first_words(F.col("text"), n))).collect()
+        assert [r[0] for r in got] == [" ".join(t.split()[:n]) for t in rows]
+    split = lambda t: [w for w in __import__("re").split(r"[ \t\n\x0b\f\r]+", t) if w]
+    heads = X.articles_of(df).select("headline", "summary").orderBy("item_id").collect()
+    assert [(r[0], r[1]) for r in heads] == [(" ".join(split(t)[:12]), " ".join(split(t)[12:])) for t in rows]
