@@ -201,3 +201,40 @@ def test_links_grow_with_the_items(spark):
     pairs = K.gated_pairs(members, features, frequency, gate=0.5)
     links = K.gated_pairs(members, features, frequency, gate=0.5, links_only=True)
     assert pairs.count() == 1200 * 1199 // 2 and links.count() < 4 * 1200
+
+
+def test_a_large_cluster_is_pruned_without_a_round_per_member(spark, monkeypatch):
+    """More members than one task used to hold: the same members stay as one by one, and no distributed round is needed."""
+    from dawnpress.operators import clustering
+
+    rounds = []
+    monkeypatch.setattr(clustering, "title_similarity", lambda *a: rounds.append(1) or pytest.fail("a round for one member"))
+    n = 120_000
+    # two groups that share a token each, and members of their own that share nothing
+    rows = spark.range(n).select(F.col("id").alias("item_id"), F.when(F.col("id") < n - 600, F.concat(F.lit("g"), F.col("id") % 2)).otherwise(F.concat(F.lit("own"), F.col("id"))).alias("token"), F.lit(1.0).alias("w"))
+    kept = clustering.prune_by_titles(rows.select(F.lit(1).cast("bigint").alias("cluster_id"), "item_id"), rows, min_mean=0.2)
+    assert not rounds and kept.agg(F.count("*"), F.max("item_id")).first()[:] == (n - 600, n - 601)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_peel_equals_one_by_one(seed):
+    from dawnpress.operators.clustering import peel
+
+    rng = np.random.default_rng(seed)
+    n, words = (40, 12) if seed < 3 else (3000, 900)
+    cells = np.unique(rng.integers(0, n * words, n * 3))
+    item, token = np.divmod(cells, words)
+    w = rng.integers(1, 4, len(cells)) / 4
+    dense = np.zeros((n, words))
+    dense[item, token] = w
+    similar = dense @ dense.T
+    np.fill_diagonal(similar, 0)
+    alive, limit = list(range(n)), float(np.quantile(similar.sum(1) / (n - 1), 0.7 if seed < 3 else 0.2))
+    dots = similar.sum(1)
+    while len(alive) >= 3:
+        means = np.round(dots[alive] / max(1, len(alive) - 1), 12)
+        worst = int(np.argmin(means))
+        if means[worst] >= limit or len(alive) <= 2:
+            break
+        dots -= similar[alive.pop(worst)]
+    assert peel(item, token, w, n, limit, 3).tolist() == alive
